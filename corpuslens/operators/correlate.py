@@ -52,8 +52,16 @@ def _summarise(clustered: DataFrame, keys: list[str]) -> DataFrame:
 
 def correlate_lines(findings: DataFrame) -> DataFrame:
     """Clusters of nearby similar findings in one file that involve two or more agents."""
-    f = findings.where("path IS NOT NULL AND path <> '' AND line_start IS NOT NULL")
-    s = _summarise(cluster_findings(f, same_line_rule=False), ["project_id", "path", "component"])
+    return _line_rows(located(findings.where("line_start IS NOT NULL")))
+
+
+def located(findings: DataFrame) -> DataFrame:
+    """Findings with a path, clustered by the correlation rules."""
+    return cluster_findings(findings.where("path <> ''"), same_line_rule=False)
+
+
+def _line_rows(clustered: DataFrame) -> DataFrame:
+    s = _summarise(clustered, ["project_id", "path", "component"])
     place = F.when(
         F.col("line_lo") == F.col("line_hi"), F.concat("path", F.lit(":"), F.col("line_lo").cast("string"))
     ).otherwise(
@@ -77,8 +85,11 @@ def correlate_lines(findings: DataFrame) -> DataFrame:
 
 def correlate_files(findings: DataFrame) -> DataFrame:
     """The same for findings without a line, by title or description."""
-    f = findings.where("path IS NOT NULL AND path <> '' AND line_start IS NULL")
-    s = _summarise(cluster_findings(f, same_line_rule=False), ["project_id", "path", "component"])
+    return _file_rows(located(findings.where("line_start IS NULL")))
+
+
+def _file_rows(clustered: DataFrame) -> DataFrame:
+    s = _summarise(clustered, ["project_id", "path", "component"])
     return s.select(
         "project_id",
         F.lit("file").alias("kind"),
@@ -160,8 +171,12 @@ def _first_non_overlapping(open_: DataFrame, max_rounds: int = 1000) -> DataFram
 
 
 def cross_findings(findings: DataFrame) -> DataFrame:
+    """All correlations of a findings table; lines and files share one clustering."""
+    c = cut_lineage(located(findings))
     return dedupe_correlations(
-        correlate_lines(findings), correlate_files(findings), correlate_symbols(findings)
+        _line_rows(c.where("line_start IS NOT NULL")),
+        _file_rows(c.where("line_start IS NULL")),
+        correlate_symbols(findings),
     )
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.constants import SEVERITIES
-from corpuslens.functions.text import finite, half_up, norm_path, path_key, severity_rank
+from corpuslens.functions.text import half_up, norm_path, path_key, severity_rank
 from corpuslens.operators.clusters import cluster_findings
+from corpuslens.session import cut_lineage
 
 MORE = "\n\nAdditional context: "
 
@@ -100,39 +101,59 @@ def annotate_complexity(findings: DataFrame, chunks: DataFrame) -> DataFrame:
     return f.withColumn("complexity", value).drop("k", "spans", "c")
 
 
-def description_parts(clustered: DataFrame) -> DataFrame:
-    """The merged description of every cluster, one row per part, in reading order.
-
-    Members fold in ``seq`` order: a member more severe than all before it goes
-    to the front, any other to the back, and members repeating the very first
-    text before anything else was added leave no part. At most five members can
-    ever go to the front, so the order follows from per-cluster aggregates and
-    no cluster has to pass through one task.
-    """
+def _cluster_stats(clustered: DataFrame) -> DataFrame:
+    """One pass per cluster: the kept member, totals, first text, first ``seq`` of every severity."""
     c = clustered.withColumn("rank", severity_rank("severity"))
-    tops = (
-        c.groupBy("component", "rank")
-        .agg(F.min("seq").alias("first_seq"))
-        .groupBy("component")
-        .agg(F.collect_list(F.struct("rank", "first_seq")).alias("tops"), F.min("first_seq").alias("head_seq"))
+    kept = [x for x in clustered.columns if x not in ("component", "description", "score_penalty")]
+    firsts = [F.min(F.when(F.col("rank") == i, F.col("seq"))) for i in range(len(SEVERITIES))]
+    return c.groupBy("component").agg(
+        F.min_by(F.struct(*kept), F.struct("rank", "seq")).alias("keep"),
+        F.count("*").alias("n_merged"),
+        F.max(F.coalesce("score_penalty", F.lit(0.0))).alias("penalty"),
+        F.max("score_penalty").alias("explicit"),
+        F.array_sort(F.collect_set("agent_name")).alias("agents"),
+        F.min("seq").alias("head_seq"),
+        F.min_by("description", "seq").alias("head_text"),
+        F.array(*firsts).alias("firsts"),
+    )
+
+
+def _parts(clustered: DataFrame, stats: DataFrame) -> DataFrame:
+    many = stats.where("n_merged > 1").select("component", "head_seq", "head_text", "firsts")
+    c = clustered.select("component", "seq", "description", severity_rank("severity").alias("rank")).join(
+        many, "component"
     )
-    heads = c.select("component", "seq", F.col("description").alias("head_text")).join(
-        tops, ["component"]
-    ).where("seq = head_seq").select("component", "tops", "head_seq", "head_text")
-    c = c.join(heads, "component")
     differs = c.where(~F.col("description").eqNullSafe(F.col("head_text"))).groupBy("component").agg(
         F.min("seq").alias("diff_seq")
     )
     c = c.join(differs, "component", "left")
-    ahead = ~F.exists("tops", lambda t: (t["first_seq"] < F.col("seq")) & (t["rank"] <= F.col("rank")))
-    place = F.when(F.col("seq") == F.col("head_seq"), F.lit(0).cast("long")).when(ahead, -F.col("seq") - 1).otherwise(
-        F.col("seq") + 1
+    earlier = F.array_min(F.slice("firsts", F.lit(1), F.col("rank") + 1))
+    place = (
+        F.when(F.col("seq") == F.col("head_seq"), F.lit(0).cast("long"))
+        .when(earlier == F.col("seq"), -F.col("seq") - 1)
+        .otherwise(F.col("seq") + 1)
     )
     return c.where("seq = head_seq OR seq >= diff_seq").select(
         "component", place.alias("part"), F.col("description").alias("text")
     )
 
 
+def description_parts(clustered: DataFrame) -> DataFrame:
+    """The merged description of every cluster, one row per part, in reading order.
+
+    Members fold in ``seq`` order: a member more severe than all before it goes
+    to the front, any other to the back, and members repeating the very first
+    text before anything else was added leave no part. A severity goes to the
+    front at most once, so the order follows from one row of aggregates per
+    cluster and no cluster has to pass through one task.
+    """
+    stats = _cluster_stats(clustered)
+    single = stats.where("n_merged = 1").select(
+        "component", F.lit(0).cast("long").alias("part"), F.col("head_text").alias("text")
+    )
+    return single.unionByName(_parts(clustered, stats))
+
+
 def merge_findings(findings: DataFrame, max_text: int = 16 * 1024 * 1024, **bars) -> DataFrame:
     """One row per cluster of duplicates.
 
@@ -140,40 +161,28 @@ def merge_findings(findings: DataFrame, max_text: int = 16 * 1024 * 1024, **bars
     agents the union. ``description`` joins the parts of ``description_parts``;
     above ``max_text`` characters it is NULL and only the parts table has it.
     """
-    return merge_clustered(cluster_findings(findings, **bars), max_text)
+    return merge_clustered(cut_lineage(cluster_findings(findings, **bars)), max_text)
 
 
 def merge_clustered(clustered: DataFrame, max_text: int = 16 * 1024 * 1024) -> DataFrame:
-    c = clustered.withColumn("rank", severity_rank("severity"))
-    kept = [x for x in clustered.columns if x not in ("component", "description", "score_penalty", "tags")]
-    aggs = [
-        F.min_by(F.struct(*kept), F.struct("rank", "seq")).alias("keep"),
-        F.count("*").alias("n_merged"),
-        F.max(F.coalesce("score_penalty", F.lit(0.0))).alias("penalty"),
-        F.max("score_penalty").alias("explicit"),
-        F.array_sort(F.collect_set("agent_name")).alias("agents"),
-    ]
-    per = c.groupBy("component").agg(*aggs)
-    parts = description_parts(clustered)
+    stats = _cluster_stats(clustered)
+    parts = _parts(clustered, stats)
     fits = parts.groupBy("component").agg(F.sum(F.length("text") + len(MORE)).alias("chars"))
     text = (
         parts.join(fits.where(F.col("chars") <= max_text).select("component"), "component")
         .groupBy("component")
         .agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts"))
-        .select("component", F.array_join(F.transform("parts", lambda p: p["text"]), MORE).alias("description"))
+        .select("component", F.array_join(F.transform("parts", lambda p: p["text"]), MORE).alias("joined"))
     )
     many = F.col("n_merged") > 1
     penalty = F.when(~many, F.col("explicit")).when(F.col("explicit").isNotNull(), F.col("penalty"))
-    return (
-        per.join(text, "component", "left")
-        .select(
-            "component",
-            "keep.*",
-            "description",
-            penalty.alias("score_penalty"),
-            F.when(many, F.col("agents")).alias("merged_from"),
-            "n_merged",
-        )
+    return stats.join(text, "component", "left").select(
+        "component",
+        "keep.*",
+        F.when(many, F.col("joined")).otherwise(F.col("head_text")).alias("description"),
+        penalty.alias("score_penalty"),
+        F.when(many, F.col("agents")).alias("merged_from"),
+        "n_merged",
     )
 
 
@@ -181,12 +190,3 @@ def by_severity(findings: DataFrame) -> DataFrame:
     """Count per project and severity, one column each."""
     counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
     return findings.groupBy("project_id").agg(*counts, F.count("*").alias("total"))
-
-
-def finding_order() -> list[Column]:
-    """Most severe first, then input order."""
-    return [severity_rank("severity"), F.col("seq")]
-
-
-def explicit_penalty() -> Column:
-    return finite("score_penalty")
