@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from corpuslens.plans import corpus_queries, findings_queries  # noqa: F401
+from corpuslens.plans import corpus_queries, diff_queries, findings_queries  # noqa: F401
 from corpuslens.plans.fixtures import prelude
 from corpuslens.plans.registry import QUERIES
 

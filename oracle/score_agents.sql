@@ -1,0 +1,6 @@
+WITH cand AS (
+  SELECT c.seq, d.id, d.category, row_number() OVER (PARTITION BY c.seq ORDER BY abs(c.line_start - d.line_start), CASE WHEN d.category = 'real-bug' THEN 0 ELSE 1 END, d.seq) AS k
+  FROM claims c JOIN defects d ON (ends_with(c.file, d.file) OR ends_with(d.file, c.file)) AND abs(c.line_start - d.line_start) <= 10),
+m AS (SELECT c.seq, c.agent_name, k.id AS defect_id, k.category, CASE WHEN k.category = 'real-bug' THEN 'tp' ELSE 'fp' END AS outcome FROM claims c LEFT JOIN cand k ON c.seq = k.seq AND k.k = 1) , a AS (SELECT agent_name, count(*) AS claims, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(DISTINCT defect_id) FILTER (outcome = 'tp') AS found FROM m GROUP BY agent_name),
+r AS (SELECT a.*, (SELECT count(*) FROM defects WHERE category = 'real-bug') AS real_bugs FROM a)
+SELECT *, round(tp / claims, 6) AS precision, round(found / real_bugs, 6) AS recall, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / claims) * (found / real_bugs) / (tp / claims + found / real_bugs) END, 6) AS f1, round(fp / claims, 6) AS fp_rate FROM r
