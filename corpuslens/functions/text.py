@@ -53,18 +53,27 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return set_jaccard(word_set(a), word_set(b))
 
 
-def fold_segments(c: Column) -> Column:
+def fold_segments(c: Column, keep_up: bool = False) -> Column:
     """Resolve ``.``, ``..`` and empty segments of a ``/``-separated path.
 
-    A ``..`` with nothing left to remove is dropped.
+    A ``..`` with nothing left to remove is dropped, or kept in front with ``keep_up``.
     """
-    step = lambda acc, s: (
-        F.when(s.isin("", "."), acc)
-        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(s)))
-    )
-    stack = F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), step)
-    return F.array_join(stack, "/")
+
+    def step(acc: Column, s: Column) -> Column:
+        empty = F.size(acc) == 0
+        if keep_up:
+            empty = empty | (F.get(acc, F.size(acc) - 1) == "..")
+        up = F.when(empty, F.concat(acc, F.array(s)) if keep_up else acc).otherwise(
+            F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        )
+        return F.when(s.isin("", "."), acc).when(s == "..", up).otherwise(F.concat(acc, F.array(s)))
+
+    return F.array_join(F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def join_path(folder: Column, relative: Column) -> Column:
+    """``relative`` seen from ``folder``; a path above the root keeps its leading ``..``."""
+    return fold_segments(F.concat(folder, F.lit("/"), relative), keep_up=True)
 
 
 def norm_path(c: Column | str) -> Column:

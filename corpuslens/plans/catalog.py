@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from corpuslens.plans import corpus_queries, diff_queries, findings_queries, triage_queries  # noqa: F401
+from corpuslens.plans import (  # noqa: F401
+    corpus_queries,
+    diff_queries,
+    findings_queries,
+    graph_queries,
+    retrieval_queries,
+    triage_queries,
+)
 from corpuslens.plans.fixtures import prelude
 from corpuslens.plans.registry import QUERIES
 

@@ -1,0 +1,4 @@
+WITH c AS (SELECT project_id, file_seq AS seq, path, content, path || ':1-' || CAST(len(string_split(content, chr(10))) AS VARCHAR) AS chunk_id, len(string_split(content, chr(10))) AS end_line,
+  nullif(regexp_extract(content, '(?m)^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|interface|type|enum|const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1), '') AS sym FROM files),
+w AS (SELECT project_id, chunk_id, seq, word, count(*) AS tf FROM (SELECT project_id, chunk_id, seq, unnest(regexp_extract_all(lower(content), '\b[a-z]{4,}\b')) AS word FROM c) GROUP BY ALL),
+n AS (SELECT chunk_id, sum(tf) AS n FROM w GROUP BY chunk_id) SELECT seq, word, tf, CAST(n AS INT) AS n_words FROM w JOIN n USING (chunk_id)

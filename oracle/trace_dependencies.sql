@@ -1,0 +1,4 @@
+WITH t AS (
+  SELECT path AS seed, path, 0 AS depth FROM code_meta WHERE file_seq % 4 = 1
+  UNION SELECT t.seed, e.importee, t.depth + 1 FROM t JOIN edges e ON e.importer = t.path WHERE t.depth < 4)
+SELECT seed, path, CAST(min(depth) AS INT) AS depth FROM t WHERE depth > 0 GROUP BY seed, path
