@@ -12,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; plain nesting would repeat it per use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(c: Column | str) -> Column:
     return F.ceil(F.length(col(c)) / F.lit(CHARS_PER_TOKEN)).cast("int")
 

@@ -9,6 +9,8 @@ from corpuslens.plans import (  # noqa: F401
     diff_queries,
     findings_queries,
     graph_queries,
+    io_queries,
+    reply_queries,
     retrieval_queries,
     triage_queries,
 )

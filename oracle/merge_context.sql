@@ -19,4 +19,4 @@ rel AS (SELECT sc.*, CAST(row_number() OVER (PARTITION BY subject ORDER BY score
   UNION ALL SELECT subject, 1, rank, chunk_id, '// --- ' || path || ' (lines 1-' || CAST(end_line AS VARCHAR) || CASE WHEN sym <> '' THEN ', ' || sym ELSE '' END || ') ---' || chr(10)
     || CASE WHEN length(content) > 1000 THEN substring(content, 1, 1000) || chr(10) || '... (truncated)' ELSE content END FROM found JOIN c USING (chunk_id)),
 b1 AS (SELECT * FROM bl QUALIFY row_number() OVER (PARTITION BY subject, chunk_id ORDER BY source, rank) = 1),
-ctx AS (SELECT subject, chr(10) || chr(10) || '/* [REPOSITORY CONTEXT] */' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY source, rank) || chr(10) || '/* [END REPOSITORY CONTEXT] */' || chr(10) || chr(10) AS context FROM b1 GROUP BY subject) SELECT subject, CAST(length(context) AS INT) AS n_chars, md5(context) AS digest FROM ctx
+ctx AS (SELECT subject, chr(10) || chr(10) || CASE WHEN min(source) = 0 THEN '/* [REPOSITORY CONTEXT] */' || chr(10) ELSE '/* [REPOSITORY CONTEXT (KEYWORD)] */' || chr(10) || chr(10) END || string_agg(block, chr(10) || chr(10) ORDER BY source, rank) || chr(10) || CASE WHEN min(source) = 0 THEN '' ELSE chr(10) END || '/* [END REPOSITORY CONTEXT] */' || chr(10) || chr(10) AS context FROM b1 GROUP BY subject) SELECT subject, CAST(length(context) AS INT) AS n_chars, md5(context) AS digest FROM ctx
