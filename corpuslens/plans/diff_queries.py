@@ -110,7 +110,7 @@ def stale_decisions(fx: Fixtures) -> DataFrame:
 def retained_decisions(fx: Fixtures) -> DataFrame:
     d = dec.parse_decisions(fx.decisions).select(
         "slug", F.lit(0).alias("project_id"), "path", "line_start", "decision",
-        F.col("decided_on").cast("timestamp").alias("modified_at"),
+        F.col("decided_on").cast("timestamp_ntz").alias("modified_at"),
     )
     return dec.retain(dec.with_slug(d), 100).select("slug", "modified_at")
 

@@ -68,7 +68,8 @@ def markdown_table(fx: Fixtures) -> DataFrame:
 
 @query
 def debounce(fx: Fixtures) -> DataFrame:
-    return watch.debounce(watch.clean_events(fx.changes), SIX_HOURS)
+    d = watch.debounce(watch.clean_events(fx.changes), SIX_HOURS)
+    return d.withColumn("fire_ts", F.col("fire_ts").cast("timestamp_ntz"))
 
 
 def results(fx: Fixtures) -> DataFrame:

@@ -28,7 +28,7 @@ def read_corpus(spark: SparkSession, root: str, project_id: int = 0, pattern: st
         F.lit(project_id).cast("long").alias("project_id"),
         F.xxhash64(rel).alias("file_seq"),
         rel.alias("path"),
-        F.when(small, F.decode("content", F.lit("UTF-8"))).alias("content"),
+        F.when(small, F.make_valid_utf8(F.col("content").cast("string"))).alias("content"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("last_modified"),
     ).withColumn("lines_of_code", F.size(F.split("content", "\n")))

@@ -36,6 +36,7 @@ def debounce(events: DataFrame, gap_ms: int, block: str = "day") -> DataFrame:
     exactly ``gap_ms`` later still does. The following event is found by time
     blocks, so a busy file is spread.
     """
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     e = next_value(events, ["path"], F.date_trunc(block, "ts"), ["ts", "seq"], F.col("ts"), "next_ts")
     wait = F.unix_millis("next_ts") - F.unix_millis("ts")
     return e.where(F.col("kind") != "unlink").where(F.col("next_ts").isNull() | (wait > gap_ms)).select(
