@@ -201,13 +201,10 @@ def cluster_findings(
     edges = [_line_edges(pts, lines, same_line_rule, window, same, cross)]
 
     loose = base.where(F.col("line_start").isNull()).withColumn("wd", _ws("description"))
-    anchor = lambda c: F.when(F.col(c) != "", F.min("seq").over(Window.partitionBy(*place, c)))
-    lp = (
-        loose.groupBy(*place, "agent_name", "ws", "wd")
-        .agg(F.min("seq").alias("seq"))
-        .withColumn("nt", anchor("ws"))
-        .withColumn("nd", anchor("wd"))
-    )
+    lp = loose.groupBy(*place, "agent_name", "ws", "wd").agg(F.min("seq").alias("seq"))
+    for text, node in (("ws", "nt"), ("wd", "nd")):
+        low = lp.where(F.col(text) != "").groupBy(*place, text).agg(F.min("seq").alias(node))
+        lp = lp.join(low, [*place, text], "left")
     lp = cut_lineage(lp)
     edges.append(lp.where("nt IS NOT NULL AND nd IS NOT NULL").select(F.col("nt").alias("a"), F.col("nd").alias("b")))
     edges.append(_text_edges(lp, "ws", "nt", same, cross))

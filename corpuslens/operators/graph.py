@@ -338,10 +338,11 @@ def module_globals(files: DataFrame, cap: int = FACT_CAPS["globals"]) -> DataFra
     return _first(first, ["path", "pos"], cap)
 
 
-def _section(df: DataFrame, no: int, head: str, text: Column, order: list[str], cap: int | None) -> DataFrame:
+def _section(df: DataFrame, no: int, head: str, text: Column, order: list[str], cap: int | None, total: DataFrame | None = None) -> DataFrame:
     """Rendered section per project: the first ``cap`` lines and how many more there are."""
     d = df.select("project_id", *order, text.alias("text"))
-    total = d.groupBy("project_id").agg(F.count("*").alias("total"))
+    if total is None:
+        total = d.groupBy("project_id").agg(F.count("*").alias("total"))
     w = Window.partitionBy("project_id").orderBy(*order)
     shown = d.withColumn("i", F.row_number().over(w)).where(F.col("i") <= (cap or 1000))
     more = F.when(
@@ -363,17 +364,19 @@ def render_repo_context(
 ) -> DataFrame:
     """One text per project that has any fact; every list is capped before it is gathered."""
     start = F.regexp_extract("cycle", "^([^>]*)", 1)
-    tests = tested.withColumn(
-        "i", F.row_number().over(Window.partitionBy("project_id", "path").orderBy("test_path"))
-    ).where("i <= 1000").groupBy("project_id", "path").agg(
-        F.array_join(F.array_sort(F.collect_list("test_path")), ", ").alias("tests")
+    listed = _first(tested.select("project_id", "path").distinct(), ["path"], FACT_CAPS["tested"] + 1)
+    tests = (
+        tested.join(listed.select("project_id", "path"), ["project_id", "path"], "left_semi")
+        .groupBy("project_id", "path")
+        .agg(F.array_join(F.array_sort(F.collect_list("test_path")), ", ").alias("tests"))
     )
+    n_tested = tested.select("project_id", "path").distinct().groupBy("project_id").agg(F.count("*").alias("total"))
     caps = FACT_CAPS
     sections = [
         _section(cycles, 1, "DEPENDENCY CYCLES (defects — report under architecture):",
                  F.concat(F.replace("cycle", F.lit(">"), F.lit(" -> ")), F.lit(" -> "), start), ["length", "cycle"], caps["cycles"]),
         _section(tests, 2, "FILES WITH TEST COVERAGE (do not report these as untested):",
-                 F.concat("path", F.lit(" (tested by: "), "tests", F.lit(")")), ["path"], caps["tested"]),
+                 F.concat("path", F.lit(" (tested by: "), "tests", F.lit(")")), ["path"], caps["tested"], n_tested),
         _section(api, 3, "PUBLIC API FILES (exports here are consumed by library users — do not report as dead code):",
                  F.col("path"), ["depth", "path"], caps["public_api_shown"]),
         _section(build, 5, "BUILD-TIME FILES (not runtime-reachable — deprioritize injection/XSS findings here):",

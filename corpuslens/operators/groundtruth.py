@@ -64,8 +64,7 @@ def match_claims(claims: DataFrame, defects: DataFrame, tolerance: int = 10) ->
 
 
 def _metrics(grouped: DataFrame, defects: DataFrame) -> DataFrame:
-    real = defects.agg(F.count_if(F.col("category") == "real-bug").alias("real_bugs"))
-    d = grouped.join(F.broadcast(real))  # one aggregated row
+    d = grouped.withColumn("real_bugs", defects.agg(F.count_if(F.col("category") == "real-bug")).scalar())
     precision = F.when(F.col("claims") == 0, 0.0).otherwise(F.col("tp") / F.col("claims"))
     recall = F.when(F.col("real_bugs") == 0, 1.0).otherwise(F.col("found") / F.col("real_bugs"))
     f1 = F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))

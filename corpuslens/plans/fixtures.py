@@ -165,6 +165,16 @@ _DUCK_JOINED = "string_agg(o, ',' ORDER BY seq)"
 def _views(dialect: str) -> dict[str, str]:
     spark = dialect == "spark"
     out = dict(VIEWS)
+    if spark:  # the same rows without cross and either-or joins
+        out["edges"] = """
+SELECT DISTINCT s.path AS importer, t.path AS importee
+FROM (SELECT path, explode(array(CASE WHEN file_seq % 3 <> 0 THEN t1 END, t2)) AS target FROM code_meta) s
+JOIN code_meta t ON t.file_seq = s.target WHERE s.path LIKE '%.ts' AND t.path LIKE '%.ts'
+"""
+        for name, alias, values in (("finding_chunks", "k", "0, 1, 2, 3"), ("defects", "j", "0, 1, 2")):
+            out[name] = re.sub(
+                r"FROM modules CROSS JOIN \(.*?\) w", f"FROM modules LATERAL VIEW explode(array({values})) w AS {alias}", out[name]
+            )
     out["changed_files"] = _DIFF_HEAD.format(lines=_SPARK_LINES if spark else _DUCK_LINES)
     out["responses"] = _RESPONSE_HEAD.format(joined=_SPARK_JOINED if spark else _DUCK_JOINED)
     return out

@@ -86,7 +86,7 @@ def tested_by(fx: Fixtures) -> DataFrame:
 def packages(fx: Fixtures) -> DataFrame:
     """One manifest whose entries are the first and last file of the corpus."""
     return fx.sql(
-        """SELECT 0 AS project_id, '{"name":"x","main":"./' || min(path) || '","exports":{".":{"import":"./'
+        """SELECT CAST(min(project_id) * 0 AS INT) AS project_id, '{"name":"x","main":"./' || min(path) || '","exports":{".":{"import":"./'
         || max(path) || '","types":"./dist/d1/f1.js"}},"dependencies":{"zod":"1","left":"2"},"devDependencies":{"ajv":"8"}}'
         AS manifest FROM code_meta WHERE path LIKE '%.ts'"""
     )
