@@ -38,48 +38,48 @@ def debounce(events: DataFrame, gap_ms: int, block: str = "day") -> DataFrame:
     """
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     e = next_value(events, ["path"], F.date_trunc(block, "ts"), ["ts", "seq"], F.col("ts"), "next_ts")
-    wait = F.unix_millis("next_ts") - F.unix_millis("ts")
-    return e.where(F.col("kind") != "unlink").where(F.col("next_ts").isNull() | (wait > gap_ms)).select(
-        "path", "seq", F.timestamp_millis(F.unix_millis("ts") + gap_ms).alias("fire_ts")
+    wait, gap = F.unix_micros("next_ts") - F.unix_micros("ts"), gap_ms * 1000
+    return e.where(F.col("kind") != "unlink").where(F.col("next_ts").isNull() | (wait > gap)).select(
+        "path", "seq", F.timestamp_micros(F.unix_micros("ts") + gap).alias("fire_ts")
     )
 
 
 def debounce_stream(events: DataFrame, gap_ms: int) -> DataFrame:
     """The same on a stream: per path the pending event, fired by an event-time timer.
 
-    State is one timestamp and one id per path.
+    State is one timestamp and one id per path with a pending event.
     """
 
+    gap = gap_ms * 1000
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cols = ["path", "seq", "fire_ms"]
         fires = []
         if state.hasTimedOut:
-            seq, at, live = state.get
-            if live:
-                fires.append((key[0], seq, at + gap_ms))
+            seq, at = state.get
+            fires.append((key[0], seq, at + gap))
             state.remove()
         else:
-            seq, at, live = state.get if state.exists else (0, 0, False)
-            rows = pd.concat(list(frames)).sort_values(["ms", "seq"])
-            for s, ms, kind in rows[["seq", "ms", "kind"]].itertuples(index=False):
-                if live and ms - at > gap_ms:
-                    fires.append((key[0], seq, at + gap_ms))
-                seq, at, live = int(s), int(ms), kind != "unlink"
-            if live and at + gap_ms < state.getCurrentWatermarkMs():
-                fires.append((key[0], seq, at + gap_ms))
-                live = False
-            state.update((seq, at, live))
-            if live:
-                state.setTimeoutTimestamp(at + gap_ms + 1)
-            else:
+            seq, at = state.get if state.exists else (0, None)
+            rows = pd.concat(list(frames)).sort_values(["us", "seq"])
+            for s, us, kind in rows[["seq", "us", "kind"]].itertuples(index=False):
+                if at is not None and us - at > gap:
+                    fires.append((key[0], seq, at + gap))
+                seq, at = int(s), (int(us) if kind != "unlink" else None)
+            due = None if at is None else (at + gap) // 1000 + 1
+            if due is not None and due <= state.getCurrentWatermarkMs():
+                fires.append((key[0], seq, at + gap))
+                due = None
+            if due is not None:
+                state.update((seq, at))
+                state.setTimeoutTimestamp(due)
+            elif state.exists:
                 state.remove()
-        yield pd.DataFrame(fires, columns=cols).astype({"seq": "int64", "fire_ms": "int64"})
+        yield pd.DataFrame(fires, columns=["path", "seq", "fire_us"]).astype({"seq": "int64", "fire_us": "int64"})
 
-    fired = events.withColumn("ms", F.unix_millis("ts")).groupBy("path").applyInPandasWithState(
-        step, "path string, seq long, fire_ms long", "seq long, at long, live boolean", "append",
-        GroupStateTimeout.EventTimeTimeout,
+    fired = events.withColumn("us", F.unix_micros("ts")).groupBy("path").applyInPandasWithState(
+        step, "path string, seq long, fire_us long", "seq long, at long", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return fired.select("path", "seq", F.timestamp_millis("fire_ms").alias("fire_ts"))
+    return fired.select("path", "seq", F.timestamp_micros("fire_us").alias("fire_ts"))
 
 
 def latest_findings(results: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def current_report(findings: DataFrame) -> DataFrame:
     line = F.concat(
         F.lit("- **["), F.upper("severity"), F.lit("]** "), "title", at, F.lit("\n  - *"), "agent_name", F.lit("*: "), "description"
     )
-    return findings.select("path", "seq", line.alias("value"))
+    return findings.where("path IS NOT NULL").select("path", "seq", line.alias("value"))
 
 
 def write_current_findings(snapshot: DataFrame, folder: str) -> None:

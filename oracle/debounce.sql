@@ -1,2 +1,2 @@
 WITH n AS (SELECT *, lead(ts) OVER (PARTITION BY path ORDER BY ts, seq) AS nx FROM changes)
-SELECT path, seq, make_timestamp(epoch_ms(ts) * 1000) + INTERVAL 6 HOUR AS fire_ts FROM n WHERE kind <> 'unlink' AND (nx IS NULL OR epoch_ms(nx) - epoch_ms(ts) > 21600000)
+SELECT path, seq, ts + INTERVAL 6 HOUR AS fire_ts FROM n WHERE kind <> 'unlink' AND (nx IS NULL OR nx - ts > INTERVAL 6 HOUR)
