@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.constants import SEVERITIES
-from corpuslens.functions.text import half_up, norm_path, path_key, severity_rank
+from corpuslens.functions.text import half_up, let, norm_path, path_key, severity_rank
 from corpuslens.operators.clusters import cluster_findings
 from corpuslens.session import cut_lineage
 
@@ -47,11 +47,9 @@ def validate_findings(findings: DataFrame, chunks: DataFrame) -> DataFrame:
     holds = F.filter(
         "spans", lambda c: F.col("s").isNull() | ((c["start_line"] <= F.col("s")) & (c["end_line"] >= F.col("s")))
     )
-    f = f.withColumn("holds", holds)
-    whole = F.filter(
-        "holds", lambda c: F.col("s").isNull() | F.col("e").isNull() | (c["end_line"] >= F.col("e"))
-    )
-    f = f.withColumn("hit", F.coalesce(F.get(whole, F.lit(0)), F.get("holds", F.lit(0))))
+    whole = lambda c: F.col("s").isNull() | F.col("e").isNull() | (c["end_line"] >= F.col("e"))
+    first = lambda spans: F.get(spans, F.lit(0))
+    f = f.withColumn("hit", let(holds, lambda h: F.coalesce(first(F.filter(h, whole)), first(h))))
     symbol = F.nullif("symbol_name", F.lit(""))
     if "symbol_name" in chunks.columns:
         symbol = F.coalesce(symbol, F.col("hit.symbol_name"))
@@ -70,7 +68,7 @@ def validate_findings(findings: DataFrame, chunks: DataFrame) -> DataFrame:
         .withColumn("line_start", F.when(~has_path, F.col("s")).otherwise(F.col("s")))
         .withColumn("line_end", F.when(has_path & F.col("e").isNotNull(), clamped).otherwise(F.col("e")))
         .withColumn("symbol_name", F.when(has_path, symbol).otherwise(F.col("symbol_name")))
-        .drop("spans", "holds", "hit", "k", "s", "e")
+        .drop("spans", "hit", "k", "s", "e")
     )
 
 
