@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import best_fit_packing, quality_classifier
+from corpuslens.llm import best_fit_packing, minhash_near_dedup, quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,44 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return best_fit_packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: shared 3-word shingles, similarity of 0.85."""
+    return minhash_near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, need=85)
+
+
+#: Exact components: any pair at the bar shares one of the rarest shingles of each side.
+ORACLE["op10_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))) END AS s
+    FROM words
+), items AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+), ranked AS (
+    SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY df, x) AS r
+    FROM (SELECT *, count(*) OVER (PARTITION BY x) AS df FROM items)
+), pairs AS (
+    SELECT DISTINCT p.doc_id AS a, q.doc_id AS b
+    FROM ranked p JOIN ranked q ON p.x = q.x AND p.doc_id <> q.doc_id
+    WHERE p.r <= p.n - ceil(0.85 * p.n) + 1 AND q.r <= q.n - ceil(0.85 * q.n) + 1
+), links AS (
+    SELECT a, b FROM pairs JOIN sets s ON s.doc_id = a JOIN sets t ON t.doc_id = b
+    WHERE 100 * len(list_intersect(s.s, t.s)) >= 85 * (len(s.s) + len(t.s) - len(list_intersect(s.s, t.s)))
+), reach(doc_id, root) AS (
+    SELECT a, b FROM links
+    UNION
+    SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.root
+), lowest AS (
+    SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(root, s.doc_id)) AS component_id,
+    s.doc_id <= coalesce(root, s.doc_id) AS kept
+FROM sets s LEFT JOIN lowest l ON l.doc_id = s.doc_id
+"""
