@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import benchmark_decontamination, best_fit_packing, minhash_near_dedup, quality_classifier
+from corpuslens.llm import (
+    benchmark_decontamination,
+    best_fit_packing,
+    host_reputation,
+    minhash_near_dedup,
+    personal_data,
+    quality_classifier,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +36,102 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("row_key")
 
 
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the rules' spans, and all spans."""
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    counts = [
+        (F.size("base") - F.size(F.array_remove(F.transform("base", lambda x: x["k"]), k))).cast("long").alias(f"n_{kind}")
+        for k, kind in enumerate(personal_data.KINDS)
+    ]
+    written = personal_data.written
+    return found.select(
+        "doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+    )
+
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url. A page's outcome is the label of the document whose number its path carries."""
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(host_reputation.path_of(F.col("url")), "^/[^/]+/([0-9]{1,18})", 1).try_cast("long")
+    bad = labels.groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    outcomes = pages.select("page_id", number.alias("doc_id")).join(bad, "doc_id").select("page_id", "bad")
+    judged = host_reputation.judged(pages, outcomes, URL_RULES)
+    return judged.withColumn("bound", F.round("bound", 6))
+
+
+ORACLE["op4_host_reputation"] = r"""
+WITH located AS (
+    SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), outcomes AS (
+    SELECT page_id, max(bad) AS bad
+    FROM located JOIN (SELECT doc_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id) l
+        ON l.doc_id = TRY_CAST(regexp_extract(path, '^/[^/]+/([0-9]{1,18})', 1) AS BIGINT)
+    GROUP BY page_id
+), hosts AS (
+    SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+        regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS plain
+    FROM located LEFT JOIN outcomes USING (page_id) GROUP BY host
+), named AS (
+    SELECT host, n, bad,
+        CASE WHEN regexp_full_match(plain, '[0-9.]*') THEN plain ELSE regexp_extract(plain,
+            '((?:[^.]*\.)?(?:(?:(?:ac|co|com|edu|gov|ne|net|or|org)\.[a-z]{2})|[^.]*))$', 1) END AS domain,
+        CASE WHEN regexp_full_match(plain, '[0-9.]*') THEN plain ELSE regexp_extract(plain,
+            '(?:^|\.)((?:(?:ac|co|com|edu|gov|ne|net|or|org)\.[a-z]{2})|[^.]*)$', 1) END AS suffix
+    FROM hosts
+), domains AS (
+    SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY suffix, domain
+), suffixes AS (
+    SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
+), levels AS (
+    SELECT 1 AS level, n, bad FROM suffixes UNION ALL SELECT 2, n, bad FROM domains UNION ALL SELECT 3, n, bad FROM named
+), sums AS (
+    SELECT level, count(*) AS k, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(n * n)::DOUBLE AS n2,
+        sum(bad * bad / n::DOUBLE) AS b2, sum(bad) / sum(n)::DOUBLE AS p
+    FROM levels WHERE n > 0 GROUP BY level
+), rhos AS (
+    SELECT level, CASE WHEN k < 2 OR bad = 0 OR bad = n OR (n - n2 / n - (k - 1)) * p * (1 - p) <= 0 THEN 0
+        ELSE (b2 - bad * p - (k - 1) * p * (1 - p)) / ((n - n2 / n - (k - 1)) * p * (1 - p)) END AS rho
+    FROM sums
+), weights AS (
+    SELECT CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1), 10000) ELSE 10000 END AS w, level FROM rhos
+), s AS (
+    SELECT suffix, (bad + w * (SELECT (sum(bad) + 1) / (sum(n) + 2)::DOUBLE FROM suffixes)) / (n + w) AS above
+    FROM suffixes, weights WHERE level = 1
+), d AS (
+    SELECT suffix, domain, (bad + w * above) / (n + w) AS above FROM domains JOIN s USING (suffix), weights WHERE level = 2
+), h AS (
+    SELECT host, n, (bad + w * above) / (n + w) AS share, w FROM named JOIN d USING (suffix, domain), weights WHERE level = 3
+), judged AS (
+    SELECT page_id, host, path, n AS labelled, share - 1.645 * sqrt(share * (1 - share) / (n + w + 1)) AS bound,
+        CASE
+            WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/'
+        END AS rule
+    FROM located JOIN h USING (host)
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block'
+    WHEN rule IS NULL AND bound > 0.4 THEN 'block' ELSE 'allow' END AS verdict, labelled, round(bound, 6) AS bound
+FROM judged
+"""
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels are learned from rows that are not held out."""
