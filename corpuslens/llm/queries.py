@@ -11,6 +11,7 @@ from corpuslens.llm import (
     benchmark_decontamination,
     best_fit_packing,
     host_reputation,
+    line_dedup,
     minhash_near_dedup,
     personal_data,
     quality_classifier,
@@ -132,6 +133,46 @@ FROM judged
 """
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What chunk removal leaves of every document: its counters and the digest of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.deduplicated(docs)
+    return left.select(
+        "doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5")
+    )
+
+
+ORACLE["op6_line_dedup"] = r"""
+WITH lined AS (
+    SELECT doc_id, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS lines FROM documents
+), each AS (
+    SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS n_lines FROM lined
+), hashed AS (
+    SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM each
+), rolled AS (
+    SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS ends FROM hashed
+), placed AS (
+    SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+    FROM rolled
+), chunks AS (
+    SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n,
+        count(*) FILTER (WHERE length(trim(line, ' ')) > 0) AS filled
+    FROM placed GROUP BY doc_id, c
+), marked AS (
+    SELECT *, filled >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, c) > 1 AS gone FROM chunks
+), left_over AS (
+    SELECT doc_id, sum(n) AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS removed_chunks,
+        coalesce(sum(n) FILTER (WHERE gone), 0) AS removed_lines,
+        coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (WHERE NOT gone), '') AS kept
+    FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_chunks, 0)::INT AS n_chunks,
+    coalesce(removed_chunks, 0)::INT AS removed_chunks, coalesce(removed_lines, 0)::INT AS removed_lines, md5(coalesce(kept, '')) AS kept_md5
+FROM documents LEFT JOIN left_over USING (doc_id)
+"""
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels are learned from rows that are not held out."""
