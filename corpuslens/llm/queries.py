@@ -15,6 +15,7 @@ from corpuslens.llm import (
     minhash_near_dedup,
     personal_data,
     quality_classifier,
+    suffix_array_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +174,16 @@ FROM documents LEFT JOIN left_over USING (doc_id)
 """
 
 
+@query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes under 200-byte strings that occur anywhere else."""
+    found = suffix_array_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels are learned from rows that are not held out."""
