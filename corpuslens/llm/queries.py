@@ -11,6 +11,8 @@ from corpuslens.llm import (
     benchmark_decontamination,
     best_fit_packing,
     host_reputation,
+    inverted_multi_index,
+    language_id,
     line_dedup,
     minhash_near_dedup,
     personal_data,
@@ -38,6 +40,13 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("row_key")
 
 
+@query
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return inverted_multi_index.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the rules' spans, and all spans."""
@@ -134,6 +143,13 @@ FROM judged
 """
 
 
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page; text likelihoods are learned from labelled documents."""
+    found = language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What chunk removal leaves of every document: its counters and the digest of its text."""
