@@ -5,8 +5,9 @@ one node, and each node gets a signature of minimum hashes. Every tree of the fo
 nodes by its own part of the signature. In this order a node's candidate is the head of the
 longest prefix that it shares with others, so the candidates of a tree are never more than its
 nodes; the best candidate of each node is confirmed on the full sets, which links the large
-groups. What is left are regions, prefixes that hold nodes of several groups: there all pairs
-across groups are compared by signature, in blocks, and the likely ones confirmed too. A region
+groups. What is left are regions, prefixes that hold nodes of several groups: there signatures
+are compared across groups, in blocks, and groups that may be linked form clusters. In a cluster
+the full sets are compared across groups, again in blocks, so no pair is ever written out. A region
 is as shallow as its crowd allows: two values, beyond ``CROWD[0]`` nodes three, beyond
 ``CROWD[1]`` four. Two sets of similarity 0.85 meet in no tree with a chance of 2e-7, 1e-5 and
 2e-4 at these depths.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import WordHashes, bit_filter, mixed, passes
@@ -30,8 +31,9 @@ TREES = 12
 VALUES = 8
 DEPTHS = (8, 4, 3, 2)
 CROWD = (256, 8192)
-#: Nodes per side of a block in which signatures are compared.
+#: Nodes per side of a block in which signatures are compared, shingles where sets are.
 BLOCK = 2000
+LOAD = 1_500_000
 #: Documents that one copy of a head's text is compared with.
 FAN = 256
 #: How far below the bar the estimate of a true link may lie; over four deviations at 96 values.
@@ -153,67 +155,134 @@ def estimated(pairs: DataFrame, nodes: DataFrame, bar: float) -> DataFrame:
     )
 
 
-def across_groups(rows: DataFrame, groups: DataFrame, nodes: DataFrame, bar: float) -> DataFrame:
-    """Likely pairs of a region whose nodes are in different groups so far.
+def _dealt(members: DataFrame, key: str, weight: Column, room: int) -> DataFrame:
+    """``members (key, node, group)`` of keys with several groups, dealt to blocks ``(key, b, o)``.
 
-    The region's main group is not compared within itself: the others meet all, both sides
-    being dealt to blocks of a bounded number of nodes.
+    The key's main group is not compared within itself: ``part`` 1, all nodes of other groups,
+    meets ``part`` 0, all nodes, each side being split so that a block's part holds about ``room``.
     """
-    placed = (
-        rows.select("region", "node")
-        .distinct()
-        .join(groups, "node", "left")
-        .select("region", "node", F.coalesce("component", "node").alias("group"))
+    weighed = members.withColumn("w", weight)
+    per = weighed.groupBy(key, "group").agg(F.sum("w").alias("w"))
+    several = (
+        per.groupBy(key)
+        .agg(F.count("*").alias("n"), F.sum("w").alias("all"), F.max_by("group", F.struct("w", "group")).alias("main"), F.max("w").alias("most"))
+        .where("n > 1")
+        .select(key, "main", F.ceil(F.col("all") / room).alias("bs"), F.ceil((F.col("all") - F.col("most")) / room).alias("os"))
     )
-    per = placed.groupBy("region", "group").agg(F.count("*").alias("n"))
-    mixed_ = (
-        per.groupBy("region")
-        .agg(F.sum("n").alias("size"), F.max_by("group", F.struct("n", "group")).alias("main"), F.max("n").alias("n_main"))
-        .where("size > n_main AND size > 2")
-    )
-    all_ = placed.join(mixed_, "region").join(
-        nodes.select(F.col("digest").alias("node"), "brief"), "node"
-    )
-    blocks, others = F.ceil(F.col("size") / BLOCK), F.ceil((F.col("size") - F.col("n_main")) / BLOCK)
-    side = F.xxhash64("node")
-    wide = all_.select(
-        "region", "node", "group", "brief", F.lit(0).alias("part"), F.pmod(side, blocks).alias("b"),
-        F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("o"),
-    )
-    narrow = all_.where("`group` <> main").select(
-        "region", "node", "group", "brief", F.lit(1).alias("part"),
-        F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"), F.pmod(side, others).alias("o"),
-    )
-    dealt = wide.unionByName(narrow).repartition("region", "b", "o").sortWithinPartitions("region", "b", "o")
+    both, side, zero = members.join(several, key), F.xxhash64("node"), F.lit(0).cast("long")
+    wide = both.withColumn("part", F.lit(0)).withColumn("b", F.pmod(side, F.col("bs"))).withColumn("o", F.explode(F.sequence(zero, F.col("os") - 1)))
+    narrow = both.where("`group` <> main").withColumn("part", F.lit(1)).withColumn("o", F.pmod(side, F.col("os"))).withColumn("b", F.explode(F.sequence(zero, F.col("bs") - 1)))
+    return wide.unionByName(narrow).drop("main", "bs", "os")
+
+
+class _Labels:
+    """Groups seen in a block, united as links are found; keeps the links that unite."""
+
+    def __init__(self, groups: list[bytes]):
+        self.names, self.label = np.unique(np.array(groups, object), return_inverse=True)
+        self.label = self.label.copy()
+        self.links: list[tuple[int, int]] = []
+
+    def unite(self, i: int, others: np.ndarray) -> None:
+        labels, first = np.unique(self.label[others], return_index=True)
+        for label, at in zip(labels, first, strict=True):
+            if label != self.label[i]:
+                self.links.append((i, int(others[at])))
+                self.label[self.label == label] = self.label[i]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """Rows of one block after the other; the last ``keys`` columns name the block."""
+    held, block = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[-keys:] != block:
+                if held:
+                    yield held
+                held, block = [], row[-keys:]
+            held.append(row)
+    if held:
+        yield held
+
+
+def suspected(rows: DataFrame, groups: DataFrame, nodes: DataFrame, bar: float) -> DataFrame:
+    """``(a, b)``: groups that hold nodes of one region with likely equal signatures; chains stand for crowds."""
+    placed = rows.select("region", "node").distinct().join(groups, "node", "left")
+    placed = placed.select("region", "node", F.coalesce("component", "node").alias("group"))
+    dealt = _dealt(placed, "region", F.lit(1), BLOCK).join(nodes.select(F.col("digest").alias("node"), "brief"), "node")
+    dealt = dealt.select("group", "brief", "part", "region", "b", "o").repartition("region", "b", "o").sortWithinPartitions("region", "b", "o")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def pairs() -> pa.RecordBatch:
-            a, b = ([r for r in held if r[2] == k] for k in (1, 0))
-            found = set()
-            if a and b:
-                x, y = (np.frombuffer(b"".join(r[1] for r in side_), np.uint8).reshape(len(side_), -1) for side_ in (a, b))
-                for i, row in enumerate(a):
-                    for j in np.flatnonzero((y == x[i]).mean(axis=1) >= bar):
-                        if b[j][3] != row[3]:
-                            found.add((min(row[0], b[j][0]), max(row[0], b[j][0])))
-            got = list(zip(*found, strict=True)) if found else [(), ()]
-            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary())], ["node", "head"])
-
-        block = None
+        for held in _blocks(batches, 3):
+            labels = _Labels([r[0] for r in held])
+            brief = np.frombuffer(b"".join(r[1] for r in held), np.uint8).reshape(len(held), -1)
+            part = np.array([r[2] for r in held])
+            wide = np.flatnonzero(part == 0)
+            for i in np.flatnonzero(part == 1):
+                far = wide[labels.label[wide] != labels.label[i]]
+                labels.unite(i, far[(brief[far] == brief[i]).mean(axis=1) >= bar])
+            ends = [(held[i][0], held[j][0]) for i, j in labels.links]
+            got = list(zip(*ends, strict=True)) if ends else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary())], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def _texts(docs: DataFrame, routes: DataFrame) -> DataFrame:
+    """``routes`` with ``text``, one row of ``docs`` per ``row_key``; other texts are not shuffled."""
+    bits = bit_filter(routes, F.col("row_key"))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("node", "brief", "part", "group", "region", "b", "o")]
-            for row in zip(*columns, strict=True):
-                if row[4:] != block:
-                    if len(held) > 1:
-                        yield pairs()
-                    held, block = [], row[4:]
-                held.append(row)
-        if len(held) > 1:
-            yield pairs()
+            keep = passes(bits, batch.column(0).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(keep))
+
+    return routes.join(docs.select(_row_key(), F.col("text").cast("binary")).mapInArrow(wanted, "row_key long, text binary"), "row_key")
 
-    return dealt.mapInArrow(compare, "node binary, head binary").distinct()
+
+def across_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, clusters: DataFrame, width: int, need: int) -> DataFrame:
+    """``(a, b)``: true links between groups of one cluster, by their full sets; enough to join all that are linked."""
+    member = nodes.select(F.col("digest").alias("node"), "row_key", "n").join(groups, "node", "left")
+    member = member.select("node", "row_key", "n", F.coalesce("component", "node").alias("group"))
+    member = member.join(clusters.select(F.col("node").alias("group"), F.col("component").alias("cluster")), "group")
+    routes = stored(_dealt(member, "cluster", F.col("n"), LOAD), "routes")
+    dealt = _texts(docs, routes).select("node", "group", "part", "text", "cluster", "b", "o")
+    dealt = dealt.repartition("cluster", "b", "o").sortWithinPartitions("cluster", "b", "o")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+
+        def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingles(t.as_py(), hashes, width) for t in batch.column("text")]
+            right = [set_digest(s) == n for s, n in zip(sets, batch.column("node").to_pylist(), strict=True)]
+            packed = pa.array([s.tobytes() for s in sets], pa.binary())
+            return batch.set_column(batch.schema.get_field_index("text"), "text", packed).filter(pa.array(right))
+
+        for held in _blocks(map(read, batches), 3):
+            labels = _Labels([r[1] for r in held])
+            sets = [np.frombuffer(r[3], np.uint64) for r in held]
+            size = np.array([len(x) for x in sets])
+            part = np.array([r[2] for r in held])
+            wide = np.flatnonzero(part == 0)
+            if not len(wide) or len(wide) == len(held):
+                continue
+            # nodes that have a shingle, by shingle
+            values = np.concatenate([sets[i] for i in wide])
+            owner = np.repeat(wide, size[wide])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for i in np.flatnonzero(part == 1):
+                low, high = (np.searchsorted(values, sets[i], side) for side in ("left", "right"))
+                n = high - low
+                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(held))
+                linked = (100 * common >= need * (size[i] + size - common)) & (labels.label != labels.label[i])
+                labels.unite(i, np.flatnonzero(linked & (part == 0)))
+            ends = [(held[i][0], held[j][0]) for i, j in labels.links]
+            got = list(zip(*ends, strict=True)) if ends else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary())], ["a", "b"])
+
+    return stored(dealt.mapInArrow(compare, "a binary, b binary").distinct(), "links")
 
 
 def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, need: int) -> DataFrame:
@@ -229,18 +298,9 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, n
         .unionByName(dealt.select("head", "salt", F.lit(0).alias("part"), F.col("head").alias("node")).distinct())
         .join(nodes.select(F.col("digest").alias("node"), "row_key"), "node")
     )
-    routes = stored(routes, "routes")
-    bits = bit_filter(routes, F.col("row_key"))
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = passes(bits, batch.column(0).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(keep))
-
-    texts = docs.select(_row_key(), "text").mapInArrow(wanted, "row_key long, text string")
     together = (
-        routes.join(texts, "row_key")
-        .select("head", "salt", "part", "node", F.col("text").cast("binary").alias("text"))
+        _texts(docs, stored(routes, "routes"))
+        .select("head", "salt", "part", "node", "text")
         .repartition("head", "salt")
         .sortWithinPartitions("head", "salt", "part")
     )
@@ -284,7 +344,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, need: int = 80) -> DataFram
     nodes = stored(
         signed.where("n > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("row_key", "values", "brief"), best).alias("s"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("row_key", "n", "values", "brief"), best).alias("s"))
         .select("digest", "doc_id", "s.*"),
         "nodes",
     )
@@ -294,21 +354,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, need: int = 80) -> DataFram
     links = confirmed(docs, nodes, first, width, need)
     groups = stored(connected_components(links).select("node", "component"), "groups")
 
-    ends = [groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group")) for end in ("node", "head")]
-    rest = (
-        likely.select("node", "head")
-        .join(first, ["node", "head"], "left_anti")
-        .join(ends[0], "node", "left")
-        .join(ends[1], "head", "left")
-        .where("coalesce(node_group, node) <> coalesce(head_group, head)")
-        .select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head"))
-        .unionByName(across_groups(rows, groups, nodes, bar))
-        .distinct()
-    )
-    tried = first.select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head"))
-    rest = stored(rest.join(tried, ["node", "head"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = confirmed(docs, nodes, rest, width, need)
+    edges = stored(suspected(rows, groups, nodes, bar), "suspected")
+    if not edges.isEmpty():
+        clusters = stored(connected_components(edges).select("node", "component").distinct(), "clusters")
+        more = across_groups(docs, nodes, groups, clusters, width, need)
         groups = stored(connected_components(links.unionByName(more)).select("node", "component"), "groups")
 
     member = nodes.select(F.col("digest").alias("node"), "doc_id").join(groups, "node", "left")
