@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm import best_fit_packing, quality_classifier
+from corpuslens.llm import (
+    benchmark_decontamination,
+    best_fit_packing,
+    line_dedup,
+    minhash_near_dedup,
+    quality_classifier,
+)
 from corpuslens.session import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    columns = docs.columns
     scored = quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 1").select(*columns)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without multi-line chunks that an earlier one has.
+
+    One that loses all its lines goes; ``n_chars`` follows the text where it was cut.
+    """
+    left = line_dedup.deduplicated(docs)
+    cut = F.col("removed_lines") > 0
+    kept = left.where(~cut | (F.col("removed_lines") < F.col("n_lines")))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(cut, length).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group that shares 80 in 100 of its five-word shingles.
+
+    Of rows with equal ids one stays. Rows without an id cannot be named in a group: of those
+    with equal texts one stays.
+    """
+    kept = minhash_near_dedup.near_duplicates(docs).where("kept")
+    ids = kept.select("doc_id").distinct()
+    key, own = "_near_duplicate_row", F.col("doc_id").cast("long")
+    one = Window.partitionBy(key).orderBy(F.xxhash64("text"))
+    named = docs.withColumn(key, own).join(ids.select(F.col("doc_id").alias(key)).where(f"{key} IS NOT NULL"), key, "left_semi")
+    named = named.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select(*docs.columns)
+    return named.unionByName(docs.where(own.isNull()).dropDuplicates(["text"]))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item recurs."""
+    return benchmark_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +60,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(docs)
 
 
-STAGES = [("quality", quality), ("packing", packing)]
+STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: The classifier and the tokenizer cannot be expressed in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None

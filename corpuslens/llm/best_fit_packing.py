@@ -193,36 +193,36 @@ def _exchange(a: Bin, b: Bin, room: int) -> tuple[tuple[int, ...], tuple[int, ..
     return best
 
 
-def improve(bins: Counter, limit: int, steps: int = 4000, partners: int = 60) -> Counter:
+def improve(bins: Counter, limit: int, tries: int = 100_000, partners: int = 60) -> Counter:
     """Exchange pieces between underfull classes while the squared fill rises.
 
     The emptiest class gives, the classes it is tried against are those nearest to it in fill.
-    ``steps`` and ``partners`` bound the search, not the result: any outcome holds every piece.
+    ``tries`` and ``partners`` bound the search, not the result: any outcome holds every piece.
     """
     bins = Counter(bins)
     stuck: set[Bin] = set()
-    for _ in range(steps):
+    while tries > 0:
         room = sorted((_fill(b), b) for b in bins if _fill(b) < limit)
         giver = next((b for _, b in room if b not in stuck), None)
         if giver is None:
             break
+        stuck.add(giver)
         fill = _fill(giver)
         takers = [b for f, b in room if f >= fill and (b != giver or bins[b] > 1)]
-        done = False
         for taker in takers[:partners]:
+            tries -= 1
             if (move := _exchange(giver, taker, limit - _fill(taker))) is None:
                 continue
             out, into = move
             many = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-            for b, c in ((giver, -many), (taker, -many), (_changed(giver, out, into), many), (_changed(taker, into, out), many)):
+            after = _changed(giver, out, into), _changed(taker, into, out)
+            for b, c in ((giver, -many), (taker, -many), (after[0], many), (after[1], many)):
                 if b:
                     bins[b] += c
                     if not bins[b]:
                         del bins[b]
-            done = True
+            stuck.clear()  # what was in nobody's way may fit now
             break
-        if not done:
-            stuck.add(giver)
     return bins
 
 

@@ -133,7 +133,7 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     total = first.agg(*[F.count(F.when(F.col("first") == i + 1, 1)).alias(f"n{i}") for i in range(len(languages))]).first()
     all_n = np.array([total[f"n{i}"] for i in range(len(languages))], float)
     overall = ((all_n + 1) / (all_n + 1).sum()).tolist()
-    declarations = first.select("declared").distinct().count()
+    declarations = max(1, first.select("declared").distinct().count())
     joined = first.join(counts("host"), "host").join(counts("suffix"), "suffix").join(counts("declared"), "declared")
 
     def score(i: Column) -> Column:

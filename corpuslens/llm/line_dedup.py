@@ -78,8 +78,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES) -> Da
     """
     counters = ("n_lines", "n_chunks", "removed_chunks", "removed_lines")
     own = docs.drop(*counters)
-    keyed = own.withColumn("_line_dedup", F.xxhash64("doc_id", F.col("text").cast("string")))
-    slim = keyed.select(F.col("_line_dedup").alias("row_key"), "doc_id", F.col("text").cast("string"))
+    keyed = own.withColumn("_line_dedup_row", F.xxhash64("doc_id", F.col("text").cast("string")))
+    slim = keyed.select(F.col("_line_dedup_row").alias("row_key"), "doc_id", F.col("text").cast("string"))
     chunked = stored(_chunked(slim, window, mean), "chunks")
 
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "s")
@@ -100,28 +100,28 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES) -> Da
     ).select("row_key", "c.*")
     firsts = pieces.where("is_first").select("h", "n", F.col("piece").alias("first_piece")).distinct()
     same = pieces.where("NOT is_first").join(firsts, ["h", "n"]).where("piece = first_piece")
-    gone = same.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("gone"))
+    gone = same.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_line_dedup_gone"))
 
     whole = lines_of(F.col("text").cast("string"))
-    before = F.transform("gone", lambda g: g["s"] - 1)
-    after = F.transform("gone", lambda g: g["e"] + 1)
+    before = F.transform("_line_dedup_gone", lambda g: g["s"] - 1)
+    after = F.transform("_line_dedup_gone", lambda g: g["e"] + 1)
     kept = F.flatten(
         F.zip_with(
             F.concat(F.array(F.lit(1)), after),
-            F.concat(before, F.array(F.size("_lines"))),
-            lambda s, e: F.slice("_lines", s, F.greatest(e - s + 1, F.lit(0))),
+            F.concat(before, F.array(F.size("_line_dedup_lines"))),
+            lambda s, e: F.slice("_line_dedup_lines", s, F.greatest(e - s + 1, F.lit(0))),
         )
     )
-    counts = chunked.select(F.col("row_key").alias("_line_dedup"), "n_chunks").distinct()
+    counts = chunked.select(F.col("row_key").alias("_line_dedup_row"), "n_chunks").distinct()
     return (
-        keyed.join(gone.withColumnRenamed("row_key", "_line_dedup"), "_line_dedup", "left")
-        .join(counts, "_line_dedup", "left")
-        .withColumn("_lines", whole)
+        keyed.join(gone.withColumnRenamed("row_key", "_line_dedup_row"), "_line_dedup_row", "left")
+        .join(counts, "_line_dedup_row", "left")
+        .withColumn("_line_dedup_lines", whole)
         .select(
-            *(c if c != "text" else F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") for c in own.columns),
-            F.size("_lines").alias("n_lines"),
+            *(c if c != "text" else F.when(F.col("_line_dedup_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") for c in own.columns),
+            F.size("_line_dedup_lines").alias("n_lines"),
             "n_chunks",
-            F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("removed_chunks"),
-            F.coalesce(F.aggregate("gone", F.lit(0), lambda a, g: a + g["e"] - g["s"] + 1), F.lit(0)).alias("removed_lines"),
+            F.when(F.col("_line_dedup_gone").isNull(), 0).otherwise(F.size("_line_dedup_gone")).alias("removed_chunks"),
+            F.coalesce(F.aggregate("_line_dedup_gone", F.lit(0), lambda a, g: a + g["e"] - g["s"] + 1), F.lit(0)).alias("removed_lines"),
         )
     )

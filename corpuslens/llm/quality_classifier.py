@@ -22,7 +22,9 @@ BUCKETS = 1 << 16
 DIMENSIONS = 8
 #: Bound of the sample of labelled rows that the model is fitted on.
 SAMPLE = 3000
+#: Passes over the sample; a small one is gone over more often, until so many steps are made.
 EPOCHS = 6
+STEPS = 9000
 RATE = 0.5
 SEED = 7
 WORDS_KEPT = 300_000
@@ -85,8 +87,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, f
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    steps, done = EPOCHS * max(1, len(rows)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(rows)))
+    steps, done = epochs * len(rows), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             rate = RATE * (1 - done / steps)
             done += 1
