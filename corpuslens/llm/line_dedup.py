@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from corpuslens.session import stored
 
-#: Lines that the rolling hash sees, and the mean number of lines of a chunk.
+#: Lines that the rolling hash sees; one line in so many may end a chunk.
 WINDOW = 2
-LINES = 4
+LINES = 3
 FACTOR = 31
 #: Lines with something in them that a chunk needs to be compared at all.
 LEAST = 2
@@ -34,12 +34,17 @@ def _line_hashes(lines: Column) -> Column:
 def _ends(hashes: Column, window: int, mean: int) -> Column:
     """1-based last lines of the chunks."""
 
-    def last(i: Column) -> Column:
+    def marked(i: Column) -> Column:
         rolled = F.lit(0).cast("long")
         for j in range(window):
             at = F.when(i > j, F.get(hashes, i - j - 1)).otherwise(F.lit(0).cast("long"))
             rolled = rolled + at * FACTOR**j
-        return (i == F.size(hashes)) | (F.pmod(rolled, F.lit(mean)) == 0)
+        return F.pmod(rolled, F.lit(mean)) == 0
+
+    def last(i: Column) -> Column:
+        n = F.size(hashes)
+        # of marked lines in a row the first counts, and no chunk is one line if the text has more
+        return (i == n) | ((i > 1) & (i < n - 1) & marked(i) & ~marked(i - 1))
 
     return F.when(F.size(hashes) > 0, F.filter(F.sequence(F.lit(1), F.size(hashes)), last)).otherwise(
         F.array().cast("array<int>")

@@ -168,10 +168,13 @@ WITH lined AS (
 ), hashed AS (
     SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM each
 ), rolled AS (
-    SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS ends FROM hashed
+    SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS marked FROM hashed
+), ended AS (
+    SELECT *, i = n_lines OR (i > 1 AND i < n_lines - 1 AND marked AND NOT lag(marked) OVER (PARTITION BY doc_id ORDER BY i)) AS ends
+    FROM rolled
 ), placed AS (
     SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
-    FROM rolled
+    FROM ended
 ), chunks AS (
     SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n,
         count(*) FILTER (WHERE length(trim(line, ' ')) > 0) AS filled

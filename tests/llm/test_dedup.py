@@ -138,7 +138,8 @@ def chunks_by_brute_force(rows):
         kept, chunk, gone, n, gone_lines = [], [], 0, 0, 0
         for k, line in enumerate(lines):
             chunk.append(line)
-            if (h[k] + 31 * (h[k - 1] if k else 0)) % 4 == 0 or k == len(lines) - 1:
+            marked = [(h[m] + 31 * (h[m - 1] if m else 0)) % 3 == 0 for m in range(max(0, k - 1), k + 1)]
+            if k == len(lines) - 1 or (0 < k < len(lines) - 2 and marked[1] and not marked[0]):
                 n += 1
                 if sum(bool(x.strip(" ")) for x in chunk) >= 2 and tuple(chunk) in seen:
                     gone, gone_lines = gone + 1, gone_lines + len(chunk)
@@ -170,7 +171,7 @@ def test_line_chunks_as_by_brute_force(spark):
 def test_repeated_rows_are_one_document(spark):
     text = "\n".join(f"row {k}" for k in range(30))
     got = line_dedup.deduplicated(make(spark, [(1, text), (1, text), (2, text)])).collect()
-    assert sorted((r.doc_id, r.text == text) for r in got) == [(1, True), (1, True), (2, False)]
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, text), (1, text), (2, "")]
 
 
 def test_chance_of_missing_a_link():
