@@ -20,7 +20,7 @@ from corpuslens.functions.text import set_jaccard, word_set
 from corpuslens.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` edges to ``(node, component)``, component = smallest node id.
 
     Alternating star contraction: every round is two min-aggregations and two
@@ -30,9 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
     state = _fingerprint(e)
-    for _ in range(max_rounds):
-        if state[0] == 0:
-            break
+    while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -51,8 +49,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

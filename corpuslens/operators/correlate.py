@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,30 +147,36 @@ def dedupe_correlations(lines: DataFrame, files: DataFrame, symbols: DataFrame)
     """Drop a line cluster that overlaps an earlier kept one of the same file and agents.
 
     Only line clusters carry ranges, and symbols and files never repeat, so the
-    other two kinds pass through. Kept rows are found in rounds: a cluster stays
-    when no undecided earlier one covers any of its lines; its overlaps leave.
+    other two kinds pass through. Clusters that touch through others form a stretch of
+    the line axis; each stretch is decided on its own, in ``first_seq`` order.
     """
     kept = _first_non_overlapping(lines.withColumn("id", F.col("first_seq")))
     return kept.drop("id").unionByName(files).unionByName(symbols)
 
 
-def _first_non_overlapping(open_: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _first_non_overlapping(lines: DataFrame) -> DataFrame:
     keys = ["project_id", "path", "agents"]
-    open_ = cut_lineage(open_)
-    source, done = open_, None
-    for _ in range(max_rounds):
-        spots = open_.select(*keys, "id", F.explode(F.sequence("line_lo", "line_hi")).alias("line"))
-        first = spots.groupBy(*keys, "line").agg(F.min("id").alias("first_id"))
-        reach = spots.join(first, [*keys, "line"])
-        wins = reach.groupBy(*keys, "id").agg(F.min("first_id").alias("m")).where("m = id").select(*keys, "id")
-        wins = cut_lineage(wins)
-        done = wins if done is None else done.unionByName(wins)
-        taken = spots.join(wins, [*keys, "id"], "left_semi").select(*keys, "line").distinct()
-        gone = spots.join(taken, [*keys, "line"], "left_semi").select(*keys, "id").distinct()
-        open_ = cut_lineage(open_.join(gone, [*keys, "id"], "left_anti"))
-        if open_.isEmpty():
-            return source.join(done, [*keys, "id"], "left_semi")
-    raise RuntimeError("correlations did not settle")
+    by_line = Window.partitionBy(*keys).orderBy("line_lo", "line_hi", "id")
+    before = F.max("line_hi").over(by_line.rowsBetween(Window.unboundedPreceding, -1))
+    stretch = F.sum("starts").over(by_line.rowsBetween(Window.unboundedPreceding, 0))
+    spans = lines.select(*keys, "id", "line_lo", "line_hi")
+    spans = spans.withColumn("starts", F.when(before >= F.col("line_lo"), 0).otherwise(1)).withColumn("stretch", stretch)
+
+    def decide(f: pd.DataFrame) -> pd.DataFrame:
+        kept, low, high = [], [], []
+        for row in f.sort_values("id").itertuples():
+            i = bisect_left(high, row.line_lo)
+            if i == len(low) or low[i] > row.line_hi:
+                low.insert(i, row.line_lo)
+                high.insert(i, row.line_hi)
+                kept.append(row.Index)
+        return f.loc[kept, [*keys, "id"]]
+
+    alone = F.count("*").over(Window.partitionBy(*keys, "stretch"))
+    sized = spans.withColumn("n", alone)
+    schema = spans.select(*keys, "id").schema
+    won = sized.where("n > 1").groupBy(*keys, "stretch").applyInPandas(decide, schema)
+    return lines.join(sized.where("n = 1").select(*keys, "id").unionByName(won), [*keys, "id"], "left_semi")
 
 
 def cross_findings(findings: DataFrame) -> DataFrame:
@@ -189,11 +198,9 @@ def valence(text: Column) -> tuple[Column, Column]:
 
 
 def with_valence(findings: DataFrame) -> DataFrame:
-    """Valence over the distinct wordings, then joined back: wording repeats, regexes are dear."""
+    """Valence of each finding's title and description; a NULL one says nothing."""
     sign, margin = valence(F.concat_ws(" ", "title", "description"))
-    words = findings.select("title", "description").distinct()
-    words = words.withColumn("sign", sign).withColumn("margin", margin)
-    return findings.join(words, ["title", "description"])
+    return findings.withColumn("sign", sign).withColumn("margin", margin)
 
 
 def detect_conflicts(findings: DataFrame, window: int = NEAR_LINES) -> DataFrame:

@@ -152,22 +152,20 @@ def description_parts(clustered: DataFrame) -> DataFrame:
     return single.unionByName(_parts(clustered, stats))
 
 
-def merge_findings(findings: DataFrame, max_text: int = 16 * 1024 * 1024, **bars) -> DataFrame:
+def merge_findings(findings: DataFrame, **bars) -> DataFrame:
     """One row per cluster of duplicates.
 
     The most severe member wins (the earliest on ties); penalty is the maximum,
-    agents the union. ``description`` joins the parts of ``description_parts``;
-    above ``max_text`` characters it is NULL and only the parts table has it.
+    agents the union. ``description`` joins all parts of ``description_parts``,
+    which has the same text in rows for those who need no single value.
     """
-    return merge_clustered(cut_lineage(cluster_findings(findings, **bars)), max_text)
+    return merge_clustered(cut_lineage(cluster_findings(findings, **bars)))
 
 
-def merge_clustered(clustered: DataFrame, max_text: int = 16 * 1024 * 1024) -> DataFrame:
+def merge_clustered(clustered: DataFrame) -> DataFrame:
     stats = _cluster_stats(clustered)
-    parts = _parts(clustered, stats)
-    fits = parts.groupBy("component").agg(F.sum(F.length("text") + len(MORE)).alias("chars"))
     text = (
-        parts.join(fits.where(F.col("chars") <= max_text).select("component"), "component")
+        _parts(clustered, stats)
         .groupBy("component")
         .agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts"))
         .select("component", F.array_join(F.transform("parts", lambda p: p["text"]), MORE).alias("joined"))

@@ -205,15 +205,17 @@ def apply_verification(findings: DataFrame, replies: DataFrame, files: DataFrame
     """Drop critical and high findings answered NO, or citing a file nobody knows.
 
     ``replies(seq, reply)``: the last standalone YES or NO counts, anything else
-    keeps the finding. A finding without reply is checked against ``files(path)`` if given.
+    keeps the finding. A finding without reply is checked against ``files(path)`` if given, within
+    its own project where ``files`` has ``project_id``.
     """
     token = r"(?i)(?<![A-Za-z0-9_])(YES|NO)(?![A-Za-z0-9_])"
     answer = F.upper(F.try_element_at(F.regexp_extract_all(without_reasoning(F.col("reply")), F.lit(token), F.lit(1)), F.lit(-1)))
     d = findings.join(replies.select("seq", "reply"), "seq", "left").withColumn("_a", answer)
     unknown = F.lit(False)
     if files is not None:
-        known = files.select("path", F.lit(True).alias("_known")).distinct()
-        d = d.join(known, "path", "left")
+        keys = ["project_id", "path"] if "project_id" in files.columns else ["path"]
+        known = files.select(*keys, F.lit(True).alias("_known")).distinct()
+        d = d.join(known, keys, "left")
         unknown = F.col("reply").isNull() & F.col("path").isNotNull() & F.col("_known").isNull()
     checked = F.col("severity").isin("critical", "high")
     drop = checked & (F.coalesce(F.col("_a") == "NO", F.lit(False)) | unknown)

@@ -80,6 +80,10 @@ def _under(path: Column, folders: list[str]) -> Column:
     return hit
 
 
+def _project(*tables: DataFrame) -> list[str]:
+    return ["project_id"] if all("project_id" in t.columns for t in tables) else []
+
+
 def scope_paths(
     files: DataFrame,
     dirs: list[str] | None = None,
@@ -88,16 +92,18 @@ def scope_paths(
 ) -> DataFrame:
     """Files under ``dirs``, named in ``exact`` and under a row of ``targets(path)``; absent means all.
 
-    Targets join on the file's own parent folders, an equi-join however many there are.
+    Targets join on the file's own parent folders, an equi-join however many there are, and
+    on ``project_id`` where both sides have one.
     """
     if dirs:
         files = files.where(_under(F.col("path"), dirs))
     if exact:
         files = files.where(F.col("path").isin(exact))
     if targets is not None:
-        t = targets.select(F.col("path").alias("a")).distinct()
-        inside = files.select("path", F.explode(ancestors(F.col("path"))).alias("a")).join(t, "a", "left_semi")
-        files = files.join(inside.select("path").distinct(), "path", "left_semi")
+        keys = _project(files, targets)
+        t = targets.select(*keys, F.col("path").alias("a")).distinct()
+        up = files.select(*keys, "path", F.explode(ancestors(F.col("path"))).alias("a")).join(t, [*keys, "a"], "left_semi")
+        files = files.join(up.select(*keys, "path").distinct(), [*keys, "path"], "left_semi")
     return files
 
 
@@ -108,14 +114,15 @@ def scope_globs(files: DataFrame, globs: list[str]) -> DataFrame:
 def resolve_targets(targets: DataFrame) -> DataFrame:
     """Valid target rows with one relative posix path per entry.
 
-    A target needs a name, a description and at least one entry.
+    A target needs a name, a description and at least one entry; ``project_id`` stays if there is one.
     """
+    keys = _project(targets)
     valid = "name <> '' AND description <> '' AND entry IS NOT NULL AND size(entry) > 0"
     entry = fold_segments(F.translate("entry_path", "\\", "/"))
     return (
         targets.where(valid)
-        .select("name", "description", F.explode("entry").alias("entry_path"))
-        .select("name", "description", entry.alias("path"))
+        .select(*keys, "name", "description", F.explode("entry").alias("entry_path"))
+        .select(*keys, "name", "description", entry.alias("path"))
     )
 
 
@@ -127,7 +134,7 @@ def scope_targets(files: DataFrame, targets: DataFrame, name: str | None = None)
 
 def drop_ignored_files(rows: DataFrame, ignored_files: DataFrame) -> DataFrame:
     """Remove every row of a file that carries a whole-file ignore directive."""
-    keys = ["project_id"] if "project_id" in rows.columns and "project_id" in ignored_files.columns else []
+    keys = _project(rows, ignored_files)
     out = ignored_files.select(*keys, clean_prefix("path").alias("_p")).distinct()
     return rows.withColumn("_p", clean_prefix("path")).join(out, [*keys, "_p"], "left_anti").drop("_p")
 
@@ -138,13 +145,14 @@ def scope_annotated(chunks: DataFrame, annotations: DataFrame) -> DataFrame:
     Request lines are gathered per file (a file's own lines bound their number),
     so the range test needs no range join.
     """
+    keys = _project(chunks, annotations)
     lines = (
         annotations.where("type IN ('review', 'focus') AND value <> ''")
-        .groupBy("path")
+        .groupBy(*keys, "path")
         .agg(F.collect_set("line").alias("_lines"))
     )
     inside = F.exists("_lines", lambda x: (x >= F.col("start_line")) & (x <= F.col("end_line")))
-    return chunks.join(lines, "path").where(inside).drop("_lines")
+    return chunks.join(lines, [*keys, "path"]).where(inside).drop("_lines")
 
 
 def select_detectors(

@@ -122,7 +122,7 @@ def split_windows_with_prefix(fx: Fixtures) -> DataFrame:
 @query
 def scope_annotated(fx: Fixtures) -> DataFrame:
     marks = annotations.parse_annotations(source_files(fx))
-    return scope.scope_annotated(windows(fx).drop("project_id"), marks.drop("project_id")).select("chunk_id")
+    return scope.scope_annotated(windows(fx), marks).select("project_id", "chunk_id")
 
 
 @query

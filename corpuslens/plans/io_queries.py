@@ -63,7 +63,7 @@ def markdown_rows(fx: Fixtures) -> DataFrame:
 
 @query
 def markdown_table(fx: Fixtures) -> DataFrame:
-    return reports.top_rows(fx.findings, 20)
+    return reports.table_text(fx.findings)
 
 
 @query

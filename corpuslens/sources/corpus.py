@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.constants import MAX_FILE_BYTES
-
 
 def read_corpus(spark: SparkSession, root: str, project_id: int = 0, pattern: str = "*") -> DataFrame:
     """One row per file below ``root``: relative path, text, size, time of change, lines.
 
-    Spark lists and splits the files; larger ones than the size guard keep their
-    row but their text is not decoded.
+    Spark lists the files. ``scope.size_guard`` marks those too large for a review.
     """
     base = root.rstrip("/") + "/"
     raw = (
@@ -23,12 +20,11 @@ def read_corpus(spark: SparkSession, root: str, project_id: int = 0, pattern: st
     )
     plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     rel = F.substring(plain, F.lit(len(base) + 1), F.length(plain))
-    small = F.col("length") <= MAX_FILE_BYTES
     return raw.select(
         F.lit(project_id).cast("long").alias("project_id"),
         F.xxhash64(rel).alias("file_seq"),
         rel.alias("path"),
-        F.when(small, F.make_valid_utf8(F.col("content").cast("string"))).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("last_modified"),
     ).withColumn("lines_of_code", F.size(F.split("content", "\n")))

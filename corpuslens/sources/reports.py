@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import severity_rank, table_cell, table_row
@@ -40,14 +40,12 @@ def write_json_report(findings: DataFrame, cross: DataFrame, path: str) -> None:
     )
 
 
-def json_documents(findings: DataFrame, cross: DataFrame, max_chars: int = 64 * 1024 * 1024) -> DataFrame:
-    """One nested document per project whose entries fit ``max_chars``; larger ones stay as rows only."""
+def json_documents(findings: DataFrame, cross: DataFrame) -> DataFrame:
+    """One nested document per project, of any size; ``json_rows`` is the form to write out at scale."""
     rows = json_rows(findings, cross)
-    fits = rows.groupBy("project_id").agg(F.sum(F.length("entry") + 1).alias("n")).where(F.col("n") <= max_chars)
     part = lambda k: F.concat(F.lit("["), F.array_join(F.transform(F.filter("l", lambda x: x["kind"] == k), lambda x: x["entry"]), ","), F.lit("]"))
     return (
-        rows.join(fits.select("project_id"), "project_id")
-        .groupBy("project_id")
+        rows.groupBy("project_id")
         .agg(F.array_sort(F.collect_list(F.struct("kind", "seq", "entry"))).alias("l"))
         .select("project_id", F.concat(F.lit('{"bugs":'), part("bug"), F.lit(',"architecturalIssues":'), part("issue"), F.lit("}")).alias("document"))
     )
@@ -70,10 +68,29 @@ def markdown_rows(findings: DataFrame) -> DataFrame:
     )
 
 
+HEAD_ROWS = ["| " + " | ".join(COLUMNS) + " |", "| " + " | ".join("---" for _ in COLUMNS) + " |"]
+
+
+def markdown_lines(findings: DataFrame) -> DataFrame:
+    """``markdown_rows`` after the two head rows of each project, which rank before all severities."""
+    rows = markdown_rows(findings)
+    head = F.posexplode(F.array(*map(F.lit, HEAD_ROWS))).alias("seq", "row")
+    heads = rows.select("project_id").distinct().select("project_id", head)
+    heads = heads.select("project_id", F.lit(-1).alias("rank"), F.lit("").alias("path"), F.col("seq").cast("long").alias("seq"), "row")
+    return heads.unionByName(rows.select(*heads.columns))
+
+
+def summary_rows(findings: DataFrame) -> DataFrame:
+    """Findings per agent of a project by severity, as rows of the report's summary table."""
+    counts = [F.count_if(F.col("severity") == s).cast("string") for s in SEVERITY_MARK]
+    per = findings.groupBy("project_id", "agent_name").agg(table_row([F.col("agent_name"), *counts, F.count("*").cast("string")]).alias("row"))
+    return per
+
+
 def write_markdown_report(findings: DataFrame, path: str) -> None:
-    """A table per project in severity, then path order; the sort is distributed."""
+    """A table per project in severity, then path order, below its head; the sort is distributed."""
     (
-        markdown_rows(findings)
+        markdown_lines(findings)
         .repartitionByRange("project_id", "rank", "path", "seq")
         .sortWithinPartitions("project_id", "rank", "path", "seq")
         .select("project_id", F.col("row").alias("value"))
@@ -83,11 +100,9 @@ def write_markdown_report(findings: DataFrame, path: str) -> None:
     )
 
 
-def top_rows(findings: DataFrame, cap: int) -> DataFrame:
-    """The first ``cap`` table rows of each project as one text."""
-    w = Window.partitionBy("project_id").orderBy("rank", "path", "seq")
-    shown = markdown_rows(findings).withColumn("i", F.row_number().over(w)).where(F.col("i") <= cap)
-    head = "| " + " | ".join(COLUMNS) + " |\n| " + " | ".join("---" for _ in COLUMNS) + " |\n"
-    return shown.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("l")).select(
-        "project_id", F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["row"]), "\n")).alias("table")
+def table_text(findings: DataFrame) -> DataFrame:
+    """The whole table of each project as one text; ``markdown_lines`` is the form to write out at scale."""
+    lines = markdown_lines(findings).groupBy("project_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "path", "seq", "row"))).alias("l")
     )
+    return lines.select("project_id", F.array_join(F.transform("l", lambda x: x["row"]), "\n").alias("table"))

@@ -3,4 +3,4 @@ WITH c AS (SELECT project_id, seq, coalesce(path, '') AS path, CASE severity WHE
    CASE WHEN path IS NULL THEN 'N/A' ELSE path || CASE WHEN line_start IS NULL THEN '' ELSE ':' || CAST(line_start AS VARCHAR) || CASE WHEN line_end IS NULL OR line_end = line_start THEN '' ELSE '-' || CAST(line_end AS VARCHAR) END END END,
    agent_name, title, description] AS cells FROM findings),
 r AS (SELECT project_id, rank, path, seq, '| ' || array_to_string(list_transform(cells, lambda x: CASE WHEN length(x) <= 21 THEN x ELSE substring(x, 1, 20) || '…' END), ' | ') || ' |' AS row FROM c) , t AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY rank, path, seq) AS i FROM r)
-SELECT project_id, '| Severity | File | Category | Title | Description |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg(row, chr(10) ORDER BY i) AS "table" FROM t WHERE i <= 20 GROUP BY project_id
+SELECT project_id, '| Severity | File | Category | Title | Description |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg(row, chr(10) ORDER BY i) AS "table" FROM t GROUP BY project_id

@@ -22,4 +22,4 @@ win AS (
     CASE WHEN tok <= 1020 THEN content ELSE array_to_string(l[15 * i + 1 : 15 * i + 20], chr(10)) END AS content
   FROM w1, unnest(range(0, nw)) AS r(i)),
 windows AS (SELECT *, path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) AS chunk_id, CAST(ceil(length(content) / 4.0) AS INT) AS token_count FROM win)
-SELECT chunk_id FROM windows w WHERE EXISTS (SELECT 1 FROM ann a WHERE a.path = w.path AND a.type <> 'ignore' AND a.value <> '' AND a.line BETWEEN w.start_line AND w.end_line)
+SELECT project_id, chunk_id FROM windows w WHERE EXISTS (SELECT 1 FROM ann a WHERE a.project_id = w.project_id AND a.path = w.path AND a.type <> 'ignore' AND a.value <> '' AND a.line BETWEEN w.start_line AND w.end_line)
