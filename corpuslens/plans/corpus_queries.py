@@ -39,7 +39,7 @@ def size_guard(fx: Fixtures) -> DataFrame:
 
 @query
 def language_profile(fx: Fixtures) -> DataFrame:
-    return scope.language_profile(source_files(fx).where("file_seq % 7 > 4 OR project_id > 2"))
+    return scope.language_profile(source_files(fx))
 
 
 @query
@@ -162,7 +162,7 @@ def chunk_symbols(fx: Fixtures) -> DataFrame:
 
 @query
 def resolve_symbols(fx: Fixtures) -> DataFrame:
-    refs = fx.code_meta.where("file_seq % 3 < 2").select(
+    refs = fx.code_meta.select(
         "project_id", "path", F.concat(F.lit("sym"), (F.col("file_seq") % 40).cast("string")).alias("name")
     )
     return chunks.resolve_symbols(refs, fx.files).select(
@@ -221,8 +221,8 @@ def split_sections(fx: Fixtures) -> DataFrame:
     n = F.col("doc_id")
     mark = lambda name, keep: F.when(keep, F.concat(F.lit(f"\n## {name}.md\n"), F.lit(name))).otherwise("")
     text = F.concat(
-        F.lit("intro"), mark("ARCHITECTURE", n % 2 == 0), F.substring("text", 1, 200), mark("DATA_FLOWS", n % 3 == 0),
-        F.col("lang"), mark("DANGER_ZONES", n % 5 != 0), F.substring("text", 201, 100), mark("GOTCHAS", n % 7 < 3),
+        F.lit("intro"), mark("ARCHITECTURE", n % 2 == 0), F.col("text"), mark("DATA_FLOWS", n % 3 == 0),
+        F.col("lang"), mark("DANGER_ZONES", n % 5 != 0), F.col("text"), mark("GOTCHAS", n % 7 < 3),
     )
     d = fx.table("documents").select("doc_id", text.alias("text"))
     return redact.split_sections(d).select("doc_id", "marker", F.md5("section").alias("digest"))

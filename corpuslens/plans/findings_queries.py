@@ -123,7 +123,7 @@ def detect_conflicts(fx: Fixtures) -> DataFrame:
 def inject_verdicts(fx: Fixtures) -> DataFrame:
     """Conflicts of the raw findings table with a derived reply for some pairs."""
     f = fx.findings
-    conflicts = correlate.detect_conflicts(f.where("severity = 'critical'"))
+    conflicts = correlate.detect_conflicts(f)
     pick = (F.col("seq_a") + F.col("seq_b")) % 7
     verdicts = conflicts.select(
         "seq_a",

@@ -62,7 +62,7 @@ def ranking(fx: Fixtures) -> DataFrame:
         .when(n % 4 == 2, F.upper("path"))
         .otherwise("nowhere.ts")
     )
-    return fx.code_meta.where("file_seq % 3 = 0").select(
+    return fx.code_meta.select(
         "project_id", ((n * 7919) % 10007).cast("double").alias("rank"), name.alias("name")
     )
 
@@ -74,8 +74,7 @@ def resolve_ranking(fx: Fixtures) -> DataFrame:
 
 @query
 def select_by_ranking(fx: Fixtures) -> DataFrame:
-    few = ranking(fx).where("rank < 1500")
-    s = triage.select_by_ranking(few, fx.files, pieces(fx), project_edges(fx), BUDGET)
+    s = triage.select_by_ranking(ranking(fx), fx.files, pieces(fx), project_edges(fx), BUDGET)
     return s.select("project_id", "path", "chunk_seq", "piece", "size", "spent", "phase")
 
 

@@ -4,4 +4,4 @@ x AS (SELECT path, list_concat(regexp_extract_all(c, '(?:\bimport(?:[\s\S]*?from
    ELSE list_concat(flatten(list_transform(regexp_extract_all(c, '\bimport\s*\(([\s\S]*?)\)', 1), lambda b: regexp_extract_all(b, '"([^"]+)"', 1))), regexp_extract_all(c, '\bimport\s+"([^"]+)"', 1)) END) AS s FROM f),
 y AS (SELECT path, s[i] AS spec, min(i) AS p FROM x, unnest(range(1, len(s) + 1)) AS r(i) GROUP BY ALL),
 z AS (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY p) - 1 AS INT) AS pos, spec FROM y)
-SELECT path, pos, spec FROM z WHERE pos < 4
+SELECT path, pos, spec FROM z

@@ -1,6 +1,6 @@
 WITH c AS (
   SELECT a.project_id, a.path, least(a.line_start, b.line_start) AS line_start, greatest(a.line_end, b.line_end) AS line_end, a.seq AS sa, (a.seq + b.seq) % 7 AS k
-  FROM findings a JOIN findings b ON a.severity = 'critical' AND b.severity = 'critical' AND a.project_id = b.project_id AND a.path = b.path
+  FROM findings a JOIN findings b ON a.project_id = b.project_id AND a.path = b.path
     AND a.seq < b.seq AND a.agent_name <> b.agent_name AND abs(a.line_start - b.line_start) <= 60)
 SELECT seq, project_id, agent_name, severity, title, description, path, line_start, line_end, '' AS tags FROM findings
 UNION ALL

@@ -1,6 +1,6 @@
 WITH  r AS (
   SELECT project_id, CAST((file_seq * 7919) % 10007 AS DOUBLE) AS rank, CASE file_seq % 4 WHEN 0 THEN './' || path WHEN 1 THEN regexp_replace(path, '^src/d[0-9]+/', '') WHEN 2 THEN upper(path) ELSE 'nowhere.ts' END AS name
-  FROM code_meta WHERE file_seq % 3 = 0),
+  FROM code_meta),
 k AS (SELECT DISTINCT project_id, name, regexp_replace(regexp_replace(trim(name), '^\.?/+', ''), '/+$', '') AS k FROM r),
 hit AS (
   SELECT k.project_id, k.name, 1 AS tier, f.path FROM k JOIN files f ON f.project_id = k.project_id AND f.path = k.k

@@ -1,6 +1,6 @@
 WITH l AS (
   SELECT path, 'sym' || CAST(file_seq % 40 AS VARCHAR) AS name, i, l[i] AS t, l
-  FROM (SELECT *, string_split(content, chr(10)) AS l FROM files WHERE file_seq % 3 < 2) f, unnest(range(1, len(l) + 1)) AS r(i)),
+  FROM (SELECT *, string_split(content, chr(10)) AS l FROM files) f, unnest(range(1, len(l) + 1)) AS r(i)),
 s AS (SELECT path, name, min(i) AS s FROM l WHERE regexp_matches(t, '(?:function|def)\s+' || name || '\s*\(|class\s+' || name || '(?:\s|\s*[:(])|const\s+' || name || '\s*=\s*(?:async\s+)?\(') GROUP BY ALL),
 e AS (
   SELECT s.path, s.name, s.s, min(b.i) AS c FROM s JOIN l a ON a.path = s.path AND a.i = s.s LEFT JOIN l b ON b.path = s.path AND b.i > s.s AND regexp_replace(b.t, '\s+', '', 'g') <> ''

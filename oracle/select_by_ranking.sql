@@ -8,7 +8,7 @@ win AS (
 windows AS (SELECT *, path || ':' || CAST(start_line AS VARCHAR) || '-' || CAST(end_line AS VARCHAR) AS chunk_id, CAST(ceil(length(content) / 4.0) AS INT) AS token_count FROM win)
 ,  r AS (
   SELECT project_id, CAST((file_seq * 7919) % 10007 AS DOUBLE) AS rank, CASE file_seq % 4 WHEN 0 THEN './' || path WHEN 1 THEN regexp_replace(path, '^src/d[0-9]+/', '') WHEN 2 THEN upper(path) ELSE 'nowhere.ts' END AS name
-  FROM code_meta WHERE file_seq % 3 = 0),
+  FROM code_meta),
 k AS (SELECT DISTINCT project_id, name, regexp_replace(regexp_replace(trim(name), '^\.?/+', ''), '/+$', '') AS k FROM r),
 hit AS (
   SELECT k.project_id, k.name, 1 AS tier, f.path FROM k JOIN files f ON f.project_id = k.project_id AND f.path = k.k
@@ -17,7 +17,7 @@ hit AS (
 one AS (SELECT project_id, name, tier, min(path) AS path FROM hit GROUP BY ALL HAVING tier = 1 OR min(path) = max(path)),
 res AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY project_id, name ORDER BY tier) = 1),
 ranked AS (SELECT r.project_id, r.rank, r.name, res.path, res.tier FROM r JOIN res USING (project_id, name))
-, fr AS (SELECT project_id, path, min(rank) AS rank FROM ranked WHERE rank < 1500 GROUP BY ALL),
+, fr AS (SELECT project_id, path, min(rank) AS rank FROM ranked GROUP BY ALL),
 o AS (SELECT w.project_id, w.path, w.part, w.token_count AS s, row_number() OVER (PARTITION BY w.project_id ORDER BY fr.rank, w.path, w.part) AS i FROM windows w JOIN fr USING (project_id, path)),
 walk AS (
   SELECT project_id, i, s <= 40000 AS taken, CASE WHEN s <= 40000 THEN CAST(s AS BIGINT) ELSE 0 END AS spent FROM o WHERE i = 1

@@ -1,7 +1,7 @@
 WITH d AS (
-  SELECT doc_id, 'intro' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '## ARCHITECTURE.md' || chr(10) || 'ARCHITECTURE' ELSE '' END || substring(text, 1, 200)
+  SELECT doc_id, 'intro' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '## ARCHITECTURE.md' || chr(10) || 'ARCHITECTURE' ELSE '' END || text
     || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## DATA_FLOWS.md' || chr(10) || 'DATA_FLOWS' ELSE '' END || lang
-    || CASE WHEN doc_id % 5 <> 0 THEN chr(10) || '## DANGER_ZONES.md' || chr(10) || 'DANGER_ZONES' ELSE '' END || substring(text, 201, 100)
+    || CASE WHEN doc_id % 5 <> 0 THEN chr(10) || '## DANGER_ZONES.md' || chr(10) || 'DANGER_ZONES' ELSE '' END || text
     || CASE WHEN doc_id % 7 < 3 THEN chr(10) || '## GOTCHAS.md' || chr(10) || 'GOTCHAS' ELSE '' END AS t FROM documents),
 m AS (SELECT doc_id, t, k, ['## ARCHITECTURE.md', '## DATA_FLOWS.md', '## DANGER_ZONES.md', '## GOTCHAS.md'][k] AS marker FROM d, unnest(range(1, 5)) AS r(k)),
 p AS (SELECT *, instr(t, marker) AS s FROM m WHERE instr(t, marker) > 0)
