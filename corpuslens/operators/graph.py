@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,11 +199,11 @@ def _cyclic_core(edges: DataFrame) -> DataFrame:
         size = new
 
 
-def dependency_cycles(edges: DataFrame, max_len: int = 8, cap: int = FACT_CAPS["cycles"]) -> DataFrame:
+def dependency_cycles(edges: DataFrame, max_len: int | None = None, cap: int = FACT_CAPS["cycles"]) -> DataFrame:
     """The first ``cap`` simple cycles per project, shortest first, smallest file first in each.
 
-    Paths grow from a cycle's smallest file. Since shorter cycles rank first, a
-    project stops growing once it has ``cap`` of them.
+    Paths grow from a cycle's smallest file, to any length unless ``max_len`` is given. Since
+    shorter cycles rank first, a project stops growing once it has ``cap`` of them.
     """
     edges = edges.distinct()
     loops = edges.where("importer = importee").select(
@@ -214,7 +215,7 @@ def dependency_cycles(edges: DataFrame, max_len: int = 8, cap: int = FACT_CAPS["
         "project_id", F.col("last").alias("start"), F.col("nxt").alias("last"), F.array("last", "nxt").alias("path")
     )
     found = cut_lineage(loops)
-    for length in range(2, max_len + 1):
+    for length in count(2):
         grown = cut_lineage(paths.join(step, ["project_id", "last"]).where("nxt >= start"))
         closed = grown.where("nxt = start").select(
             "project_id", F.array_join("path", ">").alias("cycle"), F.lit(length).alias("length")
@@ -226,7 +227,7 @@ def dependency_cycles(edges: DataFrame, max_len: int = 8, cap: int = FACT_CAPS["
             .join(full, "project_id", "left_anti")
             .select("project_id", "start", F.col("nxt").alias("last"), F.concat("path", F.array("nxt")).alias("path"))
         )
-        if length < max_len and paths.isEmpty():
+        if length == max_len or paths.isEmpty():
             break
     w = Window.partitionBy("project_id").orderBy("length", "cycle")
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
@@ -344,11 +345,13 @@ def _section(df: DataFrame, no: int, head: str, text: Column, order: list[str],
     if total is None:
         total = d.groupBy("project_id").agg(F.count("*").alias("total"))
     w = Window.partitionBy("project_id").orderBy(*order)
-    shown = d.withColumn("i", F.row_number().over(w)).where(F.col("i") <= (cap or 1000))
-    more = F.when(
-        F.col("total") > (cap or 1000),
-        F.concat(F.lit("\n  ... and "), (F.col("total") - (cap or 1000)).cast("string"), F.lit(" more")),
-    ).otherwise("")
+    shown = d.withColumn("i", F.row_number().over(w))
+    more = F.lit("")
+    if cap:
+        shown = shown.where(F.col("i") <= cap)
+        more = F.when(
+            F.col("total") > cap, F.concat(F.lit("\n  ... and "), (F.col("total") - cap).cast("string"), F.lit(" more"))
+        ).otherwise("")
     lines = F.transform(F.array_sort(F.col("l")), lambda x: F.concat(F.lit("  - "), x["text"]))
     return (
         shown.groupBy("project_id")
