@@ -231,6 +231,4 @@ COLOUR_BANDS = [(90, "brightgreen"), (80, "green"), (60, "yellow"), (40, "orange
 SECRET_KEY_PARTS = ["apikey", "key", "token", "secret", "password", "authorization"]
 ONBOARD_MARKERS = ["## ARCHITECTURE.md", "## DATA_FLOWS.md", "## DANGER_ZONES.md", "## GOTCHAS.md"]
 
-# Fixed: debounce gap in milliseconds by watch priority.
-DEBOUNCE_MS = {"low": 5000, "medium": 2000, "high": 500}
 WATCHED_FILES = 200

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.session import cut_lineage
+
 
 def carry_last(df: DataFrame, keys: list[str], block: Column, order: list, value: Column, out: str) -> DataFrame:
     """``out``: last non-null ``value`` on the rows strictly before, per key in ``order``.
@@ -44,36 +46,27 @@ def next_value(df: DataFrame, keys: list[str], block: Column, order: list, value
     )
 
 
-def rank_in_order(df: DataFrame, keys: list[str], seq: str, out: str, width: int = 1 << 20) -> DataFrame:
-    """1-based position per key ordered by the unique long ``seq``."""
-    d = df.withColumn("_blk", F.floor(F.col(seq) / width))
-    k = [*keys, "_blk"]
-    sizes = d.groupBy(*k).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn(
-        "_off",
-        F.sum("_n").over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)),
-    ).drop("_n")
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``out``: dense position from 0 of each row in ``order``, by a range sort and one offset per partition.
+
+    How the order columns are spaced does not matter. Ties get different numbers.
+    """
+    at = F.monotonically_increasing_id()
+    d = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    d = d.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    sizes = d.groupBy("_part").agg(F.count("*").alias("_n"))
+    # a row per partition
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_off"))
     return (
-        d.withColumn("_in", F.row_number().over(Window.partitionBy(*k).orderBy(seq)))
-        .join(before, k)
-        .withColumn(out, (F.col("_in") + F.coalesce("_off", F.lit(0))).cast("long"))
-        .drop("_blk", "_in", "_off")
+        d.join(offsets, "_part")
+        .withColumn(out, F.col("_off") + F.col("_at").bitwiseAND((1 << 33) - 1))
+        .drop("_at", "_part", "_off")
     )
 
 
-def running_sum(df: DataFrame, keys: list[str], block: Column, order: list, value: Column, out: str) -> DataFrame:
-    """``out``: sum of ``value`` over the rows strictly before, per key in ``order``."""
-    d = df.withColumn("_blk", block).withColumn("_v", value)
-    k = [*keys, "_blk"]
-    sums = d.groupBy(*k).agg(F.sum("_v").alias("_s"))
-    before = sums.withColumn(
-        "_off",
-        F.sum("_s").over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)),
-    ).drop("_s")
-    inside = Window.partitionBy(*k).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        d.withColumn("_in", F.sum("_v").over(inside))
-        .join(before, k)
-        .withColumn(out, F.coalesce("_in", F.lit(0)) + F.coalesce("_off", F.lit(0)))
-        .drop("_blk", "_v", "_in", "_off")
-    )
+def rank_in_order(df: DataFrame, keys: list[str], seq: str, out: str) -> DataFrame:
+    """1-based position per key ordered by the unique ``seq``."""
+    d = numbered(df, [*keys, seq], "_no")
+    first = d.groupBy(*keys).agg(F.min("_no").alias("_first"))
+    return d.join(first, keys).withColumn(out, F.col("_no") - F.col("_first") + 1).drop("_no", "_first")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.constants import COMBINED_HARD_TOKENS, COMBINED_SOFT_TOKENS, SOFT_BATCH_TOKENS
 from corpuslens.functions.grouped import fold_groups
+from corpuslens.functions.ordered import numbered
 from corpuslens.session import cut_lineage
 
 FRESH = -1  # entry value of a project's first block: no batch is open yet
@@ -109,10 +110,12 @@ def pack_batches(
 ) -> DataFrame:
     """``batch_no`` per chunk: a new batch opens when the next chunk would exceed ``limit``.
 
-    Needs ``(project_id, file_seq, chunk_seq, piece, token_count)``; only these travel.
+    Needs ``(project_id, file_seq, chunk_seq, piece, token_count)``; only these travel. Blocks
+    have equally many files however their numbers are spaced.
     """
-    items = cut_lineage(chunks.select(
-        "project_id", F.floor(F.col("file_seq") / files_per_block).cast("long").alias("blk"), "file_seq", "chunk_seq",
+    files = numbered(chunks.select("project_id", "file_seq").distinct(), ["project_id", "file_seq"], "no")
+    items = cut_lineage(chunks.join(files, ["project_id", "file_seq"]).select(
+        "project_id", F.floor(F.col("no") / files_per_block).cast("long").alias("blk"), "file_seq", "chunk_seq",
         "piece", F.col("token_count").cast("long").alias("size"),
     ))
     keys, order = ["project_id", "blk"], ["file_seq", "chunk_seq", "piece"]

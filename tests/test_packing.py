@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.functions.ordered import numbered
 from corpuslens.operators.packing import pack_batches
 from corpuslens.operators.triage import _greedy
 
@@ -33,6 +34,19 @@ def test_batches_equal_the_loop(spark, seed):
     assert {(r["project_id"], r["file_seq"]): r["batch_no"] for r in got} == want
 
 
+def test_spacing_of_file_numbers_does_not_matter(spark):
+    rng = random.Random(5)
+    sizes = [rng.choice([1, 3, 9, 12]) for _ in range(200)]
+    numbers = sorted(rng.getrandbits(63) - (1 << 62) for _ in sizes)
+    df = spark.createDataFrame(
+        [(0, n, 0, 0, s) for n, s in zip(numbers, sizes)], "project_id long, file_seq long, chunk_seq int, piece int, token_count int"
+    )
+    got = pack_batches(df, 16, files_per_block=10, blocks_per_group=4).orderBy("file_seq").collect()
+    assert [r["batch_no"] for r in got] == plain_batches(sizes, 16)
+    blocks = numbered(df.select("project_id", "file_seq"), ["project_id", "file_seq"], "no")
+    assert sorted(r["no"] for r in blocks.collect()) == list(range(200))
+
+
 def test_known_batches(spark):
     rows = [(0, i, 0, 0, s) for i, s in enumerate([9, 9, 9, 3, 16, 2])]
     df = spark.createDataFrame(rows, "project_id long, file_seq long, chunk_seq int, piece int, token_count int")
