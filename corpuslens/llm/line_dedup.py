@@ -96,7 +96,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES) -> Da
     shown = stored(shown, "places")
 
     texts = slim.select("row_key", "text")
-    lined = texts.join(shown, "row_key").select("row_key", "places", lines_of(F.col("text")).alias("lines"))
+    # merge joins: the same plan at every size, never a broadcast of lists that grow with the corpus
+    lined = texts.join(shown.hint("merge"), "row_key").select("row_key", "places", lines_of(F.col("text")).alias("lines"))
     pieces = lined.select(
         "row_key",
         F.explode(
@@ -119,7 +120,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES) -> Da
     )
     counts = chunked.select(F.col("row_key").alias("_line_dedup_row"), "n_chunks").distinct()
     return (
-        keyed.join(gone.withColumnRenamed("row_key", "_line_dedup_row"), "_line_dedup_row", "left")
+        keyed.join(gone.withColumnRenamed("row_key", "_line_dedup_row").hint("merge"), "_line_dedup_row", "left")
         .join(counts, "_line_dedup_row", "left")
         .withColumn("_line_dedup_lines", whole)
         .select(
