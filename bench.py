@@ -37,6 +37,13 @@ HEADLINE = [
     "validate_fields",
     "debounce",
     "sample_findings",
+    "keyword_search",
+    "related_chunks",
+    "attach_context",
+    "health_score",
+    "dependency_cycles",
+    "public_api",
+    "detect_conflicts",
 ]
 
 

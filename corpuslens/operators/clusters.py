@@ -59,13 +59,18 @@ def _fingerprint(e: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _prefix(words, bar: float):
-    """Words of which one must be shared by any set above ``bar``; long words first, being rarer."""
-    ranked = F.transform(
-        F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w")))),
-        lambda s: s["w"],
-    )
-    return F.slice(ranked, F.lit(1), (F.size(words) - F.floor(F.size(words) * F.lit(bar))).cast("int"))
+def _rarest(sets: DataFrame, keys: list[str], text: str, bar: float) -> DataFrame:
+    """``(keys..., t, n, w)``: of each set the words of which any set above ``bar`` must share one.
+
+    They are the rarest under the same keys, so a word that stands in most sets is in the
+    prefix only of sets that have hardly another, and forms no crowd of pairs.
+    """
+    words = F.split(F.col(text), " ")
+    each = sets.select(*keys, F.col(text).alias("t"), F.size(words).alias("n"), F.explode(words).alias("w"))
+    often = each.groupBy(*keys, "w").agg(F.count("*").alias("df"))
+    ranked = each.join(often, [*keys, "w"]).groupBy(*keys, "t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("l"))
+    first = F.slice("l", F.lit(1), (F.col("n") - F.floor(F.col("n") * F.lit(bar))).cast("int"))
+    return ranked.select(*keys, "t", "n", F.explode(first).alias("x")).select(*keys, "t", "n", F.col("x.w").alias("w"))
 
 
 def similar_sets(sets: DataFrame, keys: list[str], text: str, bar: float) -> DataFrame:
@@ -74,10 +79,7 @@ def similar_sets(sets: DataFrame, keys: list[str], text: str, bar: float) -> Dat
     ``sets`` holds one row per (keys, word set); the set is a space-joined string.
     A pair that meets under several keys of a wider table is the caller's to dedupe.
     """
-    words = F.split(F.col(text), " ")
-    tagged = sets.select(
-        *keys, F.col(text).alias("t"), F.size(words).alias("n"), F.explode(_prefix(words, bar)).alias("w")
-    )
+    tagged = cut_lineage(_rarest(sets, keys, text, bar))
     left = tagged.select(*keys, "w", F.col("t").alias("a"), F.col("n").alias("na"))
     right = tagged.select(*keys, "w", F.col("t").alias("b"), F.col("n").alias("nb"))
     return (

@@ -13,6 +13,8 @@ from corpuslens.functions.text import severity_rank
 from corpuslens.session import cut_lineage
 
 LINE_TOLERANCE = 10
+#: Lines of a block in which spans and ranges meet.
+BLOCK_LINES = 64
 
 
 def diff_stats(changed: DataFrame) -> DataFrame:
@@ -73,38 +75,38 @@ def added_ranges(changed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _ranges_by_path(ranges: DataFrame) -> DataFrame:
-    return ranges.groupBy("project_id", "path").agg(
-        F.collect_list(F.struct("range_start", "range_end")).alias("_ranges")
-    )
+def _blocks(start: Column, end: Column) -> Column:
+    """Blocks of lines that a span reaches into."""
+    return F.explode(F.sequence(F.floor(start / BLOCK_LINES), F.floor(end / BLOCK_LINES)))
 
 
-def _overlaps(start: Column, end: Column) -> Column:
-    return F.exists("_ranges", lambda r: (start <= r["range_end"]) & (end >= r["range_start"]))
+def _touching(rows: DataFrame, ranges: DataFrame, start: Column, end: Column) -> DataFrame:
+    """``rows`` whose span overlaps a range of their file.
 
+    Spans and ranges meet in blocks of lines, so a file with a long history of ranges is many
+    small keys; of a span that overlaps several only its place goes on.
+    """
+    keys = ["project_id", "path"]
+    rows = rows.withColumn("_s", start).withColumn("_e", end)
+    spans = rows.select(*keys, "_s", "_e").distinct().withColumn("_b", _blocks(F.col("_s"), F.col("_e")))
+    places = ranges.select(*keys, "range_start", "range_end").distinct().withColumn("_b", _blocks(F.col("range_start"), F.col("range_end")))
+    met = spans.join(places, [*keys, "_b"]).where("_s <= range_end AND _e >= range_start").select(*keys, "_s", "_e").distinct()
+    return rows.join(met, [*keys, "_s", "_e"], "left_semi").drop("_s", "_e")
 
-def scope_to_diff(findings: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Findings that touch an added range; one without lines needs only a changed file.
 
-    The ranges of a file travel as one row, so this is an equi-join on the path.
-    """
+def scope_to_diff(findings: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Findings that touch an added range; one without lines needs only a changed file."""
     start = F.coalesce("line_start", F.lit(0))
     end = F.coalesce("line_end", start)
     anywhere = (start == 0) & (end == 0)
-    return (
-        findings.join(_ranges_by_path(ranges), ["project_id", "path"])
-        .where(anywhere | _overlaps(start, end))
-        .drop("_ranges")
-    )
+    changed = ranges.select("project_id", "path").distinct()
+    whole = findings.where(anywhere).join(changed, ["project_id", "path"], "left_semi")
+    return whole.unionByName(_touching(findings.where(~anywhere), ranges, start, end).select(*whole.columns))
 
 
 def decision_drift(decisions: DataFrame, ranges: DataFrame) -> DataFrame:
     """Decisions whose documented range overlaps an added range of the same file."""
-    return (
-        decisions.join(_ranges_by_path(ranges), ["project_id", "path"])
-        .where(_overlaps(F.col("line_start"), F.col("line_end")))
-        .drop("_ranges")
-    )
+    return _touching(decisions, ranges, F.col("line_start"), F.col("line_end"))
 
 
 _LOOSE = ["project_id", "path", "t40"]

@@ -169,11 +169,11 @@ def pack_batches(
             out.append((key[0], f, c, p, batch))
         return out
 
-    numbered = fold_groups(
+    batches = fold_groups(
         items.join(starts, keys), keys, order, number,
         "project_id long, file_seq long, chunk_seq int, piece int, batch_no long",
     )
-    return chunks.join(numbered, ["project_id", "file_seq", "chunk_seq", "piece"])
+    return chunks.join(batches, ["project_id", "file_seq", "chunk_seq", "piece"])
 
 
 def batch_counts(chunks: DataFrame, limit: int = SOFT_BATCH_TOKENS) -> DataFrame:

@@ -238,7 +238,8 @@ def salvage_ranking(responses: DataFrame) -> DataFrame:
         loose = F.when(
             F.contains(body, F.lit("[")), F.regexp_extract_all(tail, F.lit(r'"((?:[^"\\]++|\\.)*+)"'), F.lit(1))
         )
-        return let(F.try_parse_json(body), lambda v: F.when(v.isNull(), loose).otherwise(listed(v)))
+        decoded = lambda s: F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>"), F.lit(0)), s)
+        return let(F.try_parse_json(body), lambda v: F.when(v.isNull(), F.transform(loose, decoded)).otherwise(listed(v)))
 
     names = let(text, read)
     rest = [c for c in responses.columns if c != "content"]

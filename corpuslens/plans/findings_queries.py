@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
@@ -75,8 +75,10 @@ def merge_findings(fx: Fixtures) -> DataFrame:
 
 @query
 def merged_description_parts(fx: Fixtures) -> DataFrame:
-    """Whole merged texts as parts; the form that has no size limit."""
-    return findings.description_parts(cluster_findings(fx.findings))
+    """Whole merged texts as parts, numbered in reading order."""
+    parts = findings.description_parts(cluster_findings(fx.findings))
+    order = Window.partitionBy("component").orderBy("part")
+    return parts.select("component", F.row_number().over(order).alias("no"), "text")
 
 
 @query

@@ -8,8 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Single-machine session for tests and the bench; a cluster brings its own."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """Single-machine session for tests and the bench; a cluster brings its own.
+
+    ``shared`` is its ``spark.checkpoint.dir``; a new temporary folder unless given.
+    """
+    shared = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("corpuslens")
@@ -19,6 +23,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", shared)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

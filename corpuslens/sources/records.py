@@ -10,7 +10,7 @@ HISTORY_SCHEMA = (
     "timestamp string, runId string, score double, delta double, kind string, breakdown "
     f"struct<total:double,categories:array<{_CATEGORY}>,findingCount:double,crossAgentCount:double>"
 )
-CLAIM_SCHEMA = "file string, lineStart int, lineEnd int, severity string, claim string"
+CLAIM_COLUMNS = "file: string, lineStart: int, lineEnd: int, severity: string, claim: string"
 TARGET_SCHEMA = "name string, description string, entry array<string>, focus array<string>"
 
 
@@ -55,12 +55,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_claims(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON array of claims per file; the file name is the agent."""
-    d = spark.read.schema(CLAIM_SCHEMA).option("multiLine", "true").json(folder)
+    """One JSON array of claims per file; the file name is the agent, ``seq`` the place in its array."""
     name = F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.json$", "")
-    return d.select(
-        F.monotonically_increasing_id().alias("seq"), name.alias("agent_name"), "file", F.col("lineStart").alias("line_start"), "claim"
-    )
+    texts = spark.read.option("wholetext", "true").text(folder).select(name.alias("agent_name"), "value")
+    claims = F.from_json("value", f"array<struct<{CLAIM_COLUMNS}>>")
+    d = texts.select("agent_name", F.posexplode(claims).alias("seq", "c"))
+    return d.select(F.col("seq").cast("long").alias("seq"), "agent_name", "c.file", F.col("c.lineStart").alias("line_start"), "c.claim")
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:

@@ -109,6 +109,39 @@ def latest_findings(results: DataFrame) -> DataFrame:
     )
 
 
+def latest_stream(results: DataFrame) -> DataFrame:
+    """``latest_findings`` kept up to date: a row per file whose state a micro-batch has changed.
+
+    ``n_findings`` 0 says that the file is clean. Results of a file may come unordered within a
+    micro-batch, not across: a watcher reports them as they happen. The state of a file is one row.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seq, us, n, first_seq, first_us = state.get if state.exists else (0, 0, 0, 0, 0)
+        changed = False
+        for r in pd.concat(list(frames)).sort_values(["us", "seq"]).itertuples():
+            if r.n_findings > 0:
+                if n == 0:
+                    first_seq, first_us = int(r.seq), int(r.us)
+                seq, us, n, changed = int(r.seq), int(r.us), int(r.n_findings), True
+            elif not r.errored:
+                changed = changed or n > 0
+                seq, us, n = int(r.seq), int(r.us), 0
+        if n:
+            state.update((seq, us, n, first_seq, first_us))
+        elif state.exists:
+            state.remove()
+        rows = [(*key, n, seq, first_us, first_seq)] if changed else []
+        yield pd.DataFrame(rows, columns=["project_id", "path", "n_findings", "seq", "first_us", "first_seq"])
+
+    out = "project_id long, path string, n_findings long, seq long, first_us long, first_seq long"
+    keyed = results.withColumn("us", F.unix_micros("ts")).groupBy("project_id", "path")
+    live = keyed.applyInPandasWithState(
+        step, out, "seq long, us long, n long, first_seq long, first_us long", "update", GroupStateTimeout.NoTimeout
+    )
+    return live.select("project_id", "path", "n_findings", "seq", F.timestamp_micros("first_us").alias("first_seen"), "first_seq")
+
+
 def bound_files(latest: DataFrame, limit: int = WATCHED_FILES) -> DataFrame:
     """The ``limit`` most recently entered files per project; the oldest entries leave first."""
     w = Window.partitionBy("project_id").orderBy(F.desc("first_seen"), F.desc("first_seq"))

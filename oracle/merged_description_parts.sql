@@ -1,0 +1,28 @@
+WITH tagged AS (
+  SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: w <> '')) AS tw,
+    list_distinct(list_filter(regexp_split_to_array(lower(description), '[^a-z0-9]+'), lambda w: w <> '')) AS dw
+  FROM findings WHERE TRUE),
+sims AS (
+  SELECT a.seq AS a, b.seq AS b, a.agent_name = b.agent_name AS same, a.severity = b.severity AS same_sev, a.line_start AS la, b.line_start AS lb,
+    CASE WHEN len(a.tw) = 0 OR len(b.tw) = 0 THEN 0.0 ELSE len(list_intersect(a.tw, b.tw)) / (len(a.tw) + len(b.tw) - len(list_intersect(a.tw, b.tw))) END AS ts,
+    CASE WHEN len(a.dw) = 0 OR len(b.dw) = 0 THEN 0.0 ELSE len(list_intersect(a.dw, b.dw)) / (len(a.dw) + len(b.dw) - len(list_intersect(a.dw, b.dw))) END AS ds
+  FROM tagged a JOIN tagged b ON a.project_id = b.project_id AND coalesce(a.path, '') = coalesce(b.path, '') AND a.seq < b.seq
+    AND ((a.line_start IS NULL AND b.line_start IS NULL) OR abs(a.line_start - b.line_start) <= 60)),
+links AS (
+  SELECT a, b FROM sims WHERE
+    (la IS NOT NULL AND (ts > CASE WHEN same THEN 0.5 ELSE 0.7 END OR (la = lb AND NOT same AND same_sev AND ts > 0.5)))
+    OR (la IS NULL AND greatest(ts, ds) > CASE WHEN same THEN 0.5 ELSE 0.7 END)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT seq AS node, seq AS other FROM tagged UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+comp AS (SELECT node AS seq, min(other) AS component FROM reach GROUP BY node)
+,
+ordered AS (
+  SELECT component, f.*, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS r
+  FROM findings f JOIN comp USING (seq)),
+folded AS (
+  SELECT component,
+    list_reduce(list({'r': r, 'd': [description]} ORDER BY seq), lambda x, y:
+      CASE WHEN array_to_string(x.d, chr(10) || chr(10) || 'Additional context: ') = y.d[1] THEN {'r': least(x.r, y.r), 'd': x.d}
+           WHEN x.r <= y.r THEN {'r': x.r, 'd': list_concat(x.d, y.d)} ELSE {'r': y.r, 'd': list_concat(y.d, x.d)} END).d AS d
+  FROM ordered GROUP BY component)
+SELECT component, CAST(i AS INT) AS no, d[i] AS text FROM folded, unnest(range(1, len(d) + 1)) AS n(i)

@@ -9,7 +9,7 @@ sys.path.insert(0, str(ROOT / "tests"))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from corpuslens.session import local_session
 
-    return local_session("8", 4)
+    return local_session("8", 4, str(tmp_path_factory.mktemp("shared")))

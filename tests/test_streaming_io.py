@@ -1,5 +1,6 @@
 """Streams equal their batch form; sources and sinks round-trip."""
 
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -78,7 +79,8 @@ def test_sinks(spark, tmp_path):
     from corpuslens.operators.correlate import correlate_symbols
 
     reports.write_markdown_report(f, str(tmp_path / "md"))
-    assert spark.read.text(str(tmp_path / "md")).count() == 200
+    lines = spark.read.text(str(tmp_path / "md"))
+    assert lines.count() == 200 + 2 * f.select("project_id").distinct().count()
     reports.write_json_report(f, correlate_symbols(f), str(tmp_path / "json"))
     assert spark.read.text(str(tmp_path / "json")).where("kind = 'bug'").count() == 200
     watch.write_current_findings(f, str(tmp_path / "now"))
@@ -93,3 +95,34 @@ def test_decision_retention(spark, tmp_path):
     decisions.append_decisions(old, new, str(tmp_path / "adr"), 4)
     got = [r["slug"] for r in spark.read.parquet(str(tmp_path / "adr")).orderBy("modified_at").collect()]
     assert len(got) == 4 and got[:3] == ["s6", "s7", "s8"] and got[3].startswith("b-")
+
+
+def test_stream_of_latest_findings_equals_the_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    schema = "seq long, ts timestamp, project_id long, path string, n_findings long, errored boolean"
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for i in range(120):
+        n = rng.choice([0, 0, 1, 2])
+        rows.append((i, start + datetime.timedelta(seconds=i), i % 2, f"f{rng.randrange(9)}", n, n == 0 and rng.random() < 0.4))
+    folder = tmp_path / "in"
+    for b in range(4):
+        part = rows[30 * b : 30 * b + 30]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    seen = {}
+
+    def keep(df, batch_id):
+        for r in df.collect():
+            seen[(r["project_id"], r["path"])] = r
+
+    q = watch.latest_stream(stream).writeStream.outputMode("update").foreachBatch(keep)
+    q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(200)
+    want = watch.latest_findings(spark.createDataFrame(rows, schema)).collect()
+    fields = ("n_findings", "seq", "first_seen", "first_seq")
+    assert {k: tuple(r[f] for f in fields) for k, r in seen.items() if r["n_findings"]} == {
+        (r["project_id"], r["path"]): tuple(r[f] for f in fields) for r in want
+    }
