@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,17 +38,28 @@ class Detector:
 def run_detectors(files: DataFrame, detectors: list[Detector]) -> DataFrame:
     """Findings of every rule on every line.
 
-    All rules are tested in one projection over the lines; files in which no
-    plain pattern occurs are not exploded. Penalties come from the rule's table.
+    Rules that are plain patterns share one projection, over the lines in which any of them
+    occurs; only rules with a predicate see every line. Penalties come from the rule's table.
     """
     for d in detectors:
         d.check()
-    if all(d.pattern for d in detectors):
-        anywhere = "|".join(f"(?:{d.pattern})" for d in detectors)
-        files = files.where(F.col("content").rlike("(?m)" + anywhere))
-    lines = files.select(
-        "project_id", "path", "language", F.posexplode(F.split("content", "\n")).alias("pos", "line")
-    )
+    plain, other = [d for d in detectors if d.pattern], [d for d in detectors if not d.pattern]
+    split = F.split("content", "\n")
+    found = []
+    if plain:
+        anywhere = "|".join(f"(?:{d.pattern})" for d in plain)
+        some = F.filter(
+            F.transform(split, lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda x: x["line"].rlike(anywhere)
+        )
+        lines = files.where(F.col("content").rlike("(?m)" + anywhere)).select("project_id", "path", "language", F.inline(some))
+        found.append(_hits(lines, plain))
+    if other:
+        lines = files.select("project_id", "path", "language", F.posexplode(split).alias("pos", "line"))
+        found.append(_hits(lines, other))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _hits(lines: DataFrame, detectors: list[Detector]) -> DataFrame:
 
     def hit(d: Detector):
         test = F.col("line").rlike(d.pattern) if d.pattern else F.expr(d.predicate)

@@ -15,6 +15,8 @@ from corpuslens.functions.ordered import next_value
 from corpuslens.operators.scope import ignored
 
 EVENT_SCHEMA = "seq long, ts timestamp, path string, kind string"
+#: Folders of the stored report.
+REPORT_BUCKETS = 64
 RESULT_SCHEMA = "seq long, ts timestamp, project_id long, path string, n_findings long, errored boolean"
 
 
@@ -158,8 +160,10 @@ def current_report(findings: DataFrame) -> DataFrame:
 
 
 def write_current_findings(snapshot: DataFrame, folder: str) -> None:
-    """Replace the stored report by the given findings, one folder per file."""
-    current_report(snapshot).write.partitionBy("path").mode("overwrite").parquet(folder)
+    """Replace the stored report by the given findings; files share ``REPORT_BUCKETS`` folders by hash."""
+    bucket = F.pmod(F.xxhash64("path"), F.lit(REPORT_BUCKETS))
+    rows = current_report(snapshot).withColumn("bucket", bucket).repartition("bucket")
+    rows.write.partitionBy("bucket").mode("overwrite").parquet(folder)
 
 
 def review_stream(
