@@ -37,7 +37,7 @@ def passes(bits: bytes, keys: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, remembered for the words last seen."""
 
-    def __init__(self, keep: int = 500_000):
+    def __init__(self, keep: int = 250_000):
         self.keep = keep
 
     def __missing__(self, word: bytes) -> int:

@@ -126,7 +126,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -
                 [
                     batch.column(0),
                     batch.column(2),
-                    pa.array([g[0] for g in got], pa.list_(pa.int64())),
+                    pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())),
                     pa.array([g[1] for g in got], pa.list_(pa.float32())),
                 ],
                 ["doc_id", "label", "ids", "share"],
@@ -134,12 +134,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -
 
     # the sample is bounded by the parameter, so sending it to every task is too
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
-    rows = joined.mapInArrow(featured, "doc_id long, label int, ids array<long>, share array<float>").toArrow()
+    rows = joined.mapInArrow(featured, "doc_id long, label int, ids array<int>, share array<float>").toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")[:sample]
     ids, share, label_of = rows["ids"], rows["share"], rows["label"].to_pylist()
-    return [
-        (np.array(ids[i].values, np.int32), np.array(share[i].values, np.float32), label_of[i]) for i in order.tolist()
-    ]
+    # views into the table that has arrived, no copies
+    return [(ids[i].values.to_numpy(), share[i].values.to_numpy(), label_of[i]) for i in order.tolist()]
 
 
 class _Words(dict):
@@ -206,6 +205,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3)) == 1
     rows = training_rows(docs, labels.where(~held), label, sample)
     weight, intercept = train(rows) if rows else (np.zeros(BUCKETS, np.float32), 0.0)
+    del rows
+    pa.default_memory_pool().release_unused()
     plain = docs.drop("held_out", "score", "predicted")
     return (
         score(plain, weight, intercept)
