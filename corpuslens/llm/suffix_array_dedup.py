@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.common import bit_filter, mixed, passes
 from corpuslens.llm.windows import STRETCH, Rolling, anchors
-from corpuslens.session import stored
+from corpuslens.session import discard, stored
 
 WIDTH = 200
 GRAM = 64
@@ -173,27 +173,37 @@ def _covered(docs: DataFrame, width: int, gram: int) -> DataFrame:
             yield batch.filter(pa.array(passes(bits, _column(batch, "gram"))))
 
     hits = stored(occurring.mapInArrow(likely, occurring.schema).join(often, "gram"), "hits")
+    discard(occurring, often)
     same = (
         hits.groupBy("gram", "bytes")
         .agg(F.count("*").alias("n"), F.min(F.struct("row_key", "at")).alias("one"))
         .where("n > 1")
         .select("gram", "bytes", "one")
     )
-    marked = stored(hits.join(same, ["gram", "bytes"], "left"), "marked")
     # of each group of equal bytes one stands for all in what follows
-    active = marked.where("one IS NULL OR (one.row_key = row_key AND one.at = at)").select("row_key", "at", "gram").distinct()
-    around = stored(_surroundings(docs, stored(active, "active"), width), "slices")
+    first = F.col("one").isNull() | ((F.col("one.row_key") == F.col("row_key")) & (F.col("one.at") == F.col("at")))
+    marked = hits.join(same, ["gram", "bytes"], "left").select(
+        "row_key", "at", F.when(first, F.col("gram")).alias("gram"), F.col("one").isNotNull().alias("again")
+    )
+    marked = stored(marked, "marked")
+    discard(hits)
+    active = stored(marked.where("gram IS NOT NULL").select("row_key", "at", "gram").distinct(), "active")
+    around = stored(_surroundings(docs, active, width), "slices")
     parts = stored(_parts(around, width, gram), "parts")
     met = parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     left = parts.join(met, "key").select("row_key", "at", "part").distinct()
     windows = stored(_windows(around.join(left, ["row_key", "at"]), width, gram), "windows")
+    discard(active, around, parts)
     again = windows.groupBy("gram", "key").agg(F.count("*").alias("n")).where("n > 1").select("gram", "key")
     single = windows.join(again, ["gram", "key"]).select("row_key", F.col("start").alias("s"), (F.col("start") + width).alias("e"))
     start = F.shiftright("at", 16)
-    whole = marked.where("one IS NOT NULL").select(
+    whole = marked.where("again").select(
         "row_key", start.alias("s"), (start + F.shiftright("at", 8).bitwiseAND(255) + width).alias("e")
     )
-    return whole.unionByName(single).groupBy("row_key").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    ranges = whole.unionByName(single).groupBy("row_key").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    covered = stored(ranges, "covered")
+    discard(marked, windows)
+    return covered
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -205,7 +215,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataF
     Of repeated rows each counts as a place of its own. Other columns are ignored.
     """
     docs = _keyed(docs)
-    covered = stored(_covered(docs, width, gram), "covered")
+    covered = _covered(docs, width, gram)
     bits = bit_filter(covered, F.col("row_key"))
     schema = "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary"
     ends = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
