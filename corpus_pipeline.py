@@ -22,11 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without multi-line chunks that an earlier one has.
+    """Documents without the passages of several lines that stand earlier.
 
     One that loses all its lines goes; ``n_chars`` follows the text where it was cut.
     """
-    left = line_dedup.deduplicated(docs)
+    left = line_dedup.deduplicated(docs, passages=True)
     cut = F.col("removed_lines") > 0
     kept = left.where(~cut | (F.col("removed_lines") < F.col("n_lines")))
     if "n_chars" in docs.columns:

@@ -5,11 +5,15 @@ passage is cut alike wherever it stands, and lines put in before it shift nothin
 on a hash; those that meet are then compared byte by byte with the first of their kind, which
 stays. Everything runs in the JVM. Texts are shuffled once, by document; only chunks with an
 equal hash elsewhere travel to the comparison.
+
+Chunks meet only where cuts fall inside a passage. On request they are seeds: each grows over the
+lines around it as long as every two neighbouring lines stand so at an earlier place, and other
+stretches of such lines go as well if they are long enough.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.session import stored
@@ -20,6 +24,8 @@ LINES = 3
 FACTOR = 31
 #: Lines with something in them that a chunk needs to be compared at all.
 LEAST = 2
+#: A repeated stretch of lines with more words than this goes though no chunk met in it.
+WORDS = 50
 
 
 def lines_of(text: Column) -> Column:
@@ -73,13 +79,63 @@ def _chunked(docs: DataFrame, window: int, mean: int) -> DataFrame:
     return ended.select("row_key", "doc_id", F.size("ends").alias("n_chunks"), found.alias("chunks"))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES) -> DataFrame:
+def _paired(docs: DataFrame) -> DataFrame:
+    """``row_key, doc_id, pairs``: neighbouring lines with something in them, as hashes of all from one to the other.
+
+    ``s`` and ``e`` take in the blank lines at a text's own start and end; ``v`` and ``w`` are the words of the two lines.
+    """
+    lined = docs.select("row_key", "doc_id", lines_of(F.col("text")).alias("lines"))
+    lines, n = F.col("lines"), F.size("lines")
+    some = F.filter(F.sequence(F.lit(1), n), lambda i: F.length(F.trim(F.get(lines, i - 1))) > 0)
+    full = lined.withColumn("full", F.when(n > 0, some).otherwise(F.array().cast("array<int>"))).where(F.size("full") > 1)
+    k = F.size("full")
+
+    def words(i: Column) -> Column:
+        return F.size(F.filter(F.split(F.get(lines, i - 1), r"\s+"), lambda x: x != ""))
+
+    def described(s: Column, e: Column) -> Column:
+        text = _chunk_text(lines, s, e)
+        first, last = s == F.get("full", F.lit(0)), e == F.get("full", k - 1)
+        return F.struct(
+            F.when(first, 1).otherwise(s).alias("s"), F.when(last, n).otherwise(e).alias("e"),
+            F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), words(s).alias("v"), words(e).alias("w"),
+        )
+
+    return full.select("row_key", "doc_id", F.zip_with(F.slice("full", 1, k - 1), F.slice("full", 2, k - 1), described).alias("pairs"))
+
+
+def _passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``row_key, s, e`` of the stretches of lines of which every two neighbours stand so at an earlier place.
+
+    A stretch goes if it holds one of the ``seeds``, or more than ``WORDS`` words. A line's first
+    place in the corpus is in no such stretch, so no line is lost altogether.
+    """
+    each = stored(_paired(docs), "pairs").select("row_key", "doc_id", F.explode("pairs").alias("p")).select("row_key", "doc_id", "p.*")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "s")
+    met = each.groupBy("h", "g").agg(F.count("*").alias("copies"), F.min(order).alias("first")).where("copies > 1").drop("copies")
+    again = each.join(met.hint("merge"), ["h", "g"]).where("first.row_key != row_key OR first.s != s")
+    again = again.select("row_key", "s", "e", "v", "w", F.lit(0).alias("seed")).dropDuplicates(["row_key", "s"])
+    seeded = seeds.select("row_key", "s", "e", F.lit(0).alias("v"), F.lit(None).cast("int").alias("w"), F.lit(1).alias("seed"))
+    # within one text; what shares a line belongs together
+    by_start = Window.partitionBy("row_key").orderBy("s", "e", "seed")
+    reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    apart = again.unionByName(seeded).withColumn("new", (F.coalesce(reach, F.lit(0)) < F.col("s")).cast("int"))
+    island = F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
+    words = F.sum("v") + F.coalesce(F.max_by("w", F.when(F.col("w").isNotNull(), F.col("e"))), F.lit(0))
+    whole = apart.withColumn("island", island).groupBy("row_key", "island").agg(
+        F.min("s").alias("s"), F.max("e").alias("e"), F.max("seed").alias("seed"), words.alias("words")
+    )
+    return whole.where((F.col("seed") == 1) | (F.col("words") > WORDS)).select("row_key", "s", "e")
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES, passages: bool = False) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``, and ``n_lines, n_chunks, removed_chunks, removed_lines``.
 
     Of equal chunks the first stays, by doc_id (NULL last), then by place. Chunks with fewer than
     two lines that hold more than blanks are left alone. NULL texts stay NULL and have no lines,
     like empty ones. Repeated rows are one document and get equal results. Other columns pass
-    through; the four counters replace columns of their names.
+    through; the four counters replace columns of their names. With ``passages`` whole repeated
+    passages go, however the chunks are cut; ``removed_chunks`` counts them instead.
     """
     counters = ("n_lines", "n_chunks", "removed_chunks", "removed_lines")
     own = docs.drop(*counters)
@@ -106,6 +162,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES) -> Da
     ).select("row_key", "c.*")
     firsts = pieces.where("is_first").select("h", "n", F.col("piece").alias("first_piece")).distinct()
     same = pieces.where("NOT is_first").join(firsts, ["h", "n"]).where("piece = first_piece")
+    if passages:
+        same = _passages(slim, same)
     gone = same.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_line_dedup_gone"))
 
     whole = lines_of(F.col("text").cast("string"))

@@ -1,6 +1,7 @@
 """The pipeline's stages, each on its own input, and its whole run."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -66,6 +67,47 @@ def test_emptied_documents_go(spark, docs):
     assert len(out[3].text) == out[3].n_chars < len(rows[2][1])
 
 
+def passages_by_brute_force(rows):
+    """Texts without stretches over 50 words of which every two neighbouring lines stand so at an earlier place."""
+    seen, out = set(), {}
+    for i, t in rows:
+        lines = t.split("\n")
+        again = [p in seen or p in set(zip(lines[:k], lines[1 : k + 1])) for k, p in enumerate(zip(lines, lines[1:]))]
+        seen.update(zip(lines, lines[1:]))
+        gone, k = set(), 0
+        while k < len(again):
+            end = k
+            while end < len(again) and again[end]:
+                end += 1
+            if end > k and sum(len(x.split()) for x in lines[k : end + 1]) > 50:
+                gone.update(range(k, end + 1))
+            k = end + 1
+        out[i] = [x for k, x in enumerate(lines) if k not in gone]
+    return out
+
+
+def test_whole_passages_go_from_any_context(spark, docs):
+    r = random.Random(4)
+    passages = [[" ".join(f"w{r.randrange(10**6)}" for _ in range(55 // n + 1)) for _ in range(n)] for n in range(2, 11) for _ in range(6)]
+    rows = [
+        (3 * i + k, "\n".join([*(f"own {i} {k} {x}" for x in range(r.randrange(4))), *p, *(f"more {i} {k} {x}" for x in range(r.randrange(1, 4)))]))
+        for i, p in enumerate(passages) for k in range(3)
+    ]
+    rows += [(1000, "\n".join([*passages[0], "between", *passages[20], *passages[50][1:]])), (1001, "\n".join([*passages[30], "x", *passages[30]]))]
+    out = {x.doc_id: x.text.split("\n") for x in STAGES["lines"](spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema), SF).collect()}
+    want = passages_by_brute_force(rows)
+    planted = {x for p in passages for x in p}
+    assert all(not planted & set(out.get(i, [])) for i, _ in rows if i >= 1000 or i % 3)
+    assert all(out.get(i, []) == want[i] for i, _ in rows)
+
+
+def test_blank_lines_around_a_passage(spark, docs):
+    passage = "\n".join(" ".join(f"p{i}x{k}" for k in range(40)) for i in range(2))
+    rows = [(1, passage), (2, f"\n{passage}\n\n"), (3, f"a\n\n{passage}\n\nb"), (None, passage)]
+    out = {x.doc_id: x.text for x in STAGES["lines"](spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema), SF).collect()}
+    assert out == {1: passage, 3: "a\n\n\nb"}
+
+
 def test_whole_run(spark):
     got = corpus_pipeline.run(spark, SF)
     per = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
