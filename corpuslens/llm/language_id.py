@@ -15,17 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.host_reputation import host_of, suffix_of
 from corpuslens.llm.quality_classifier import BUCKETS, features, subwords
 from corpuslens.session import stored
 
-#: Bound of the sample of labelled texts that the likelihoods are fitted on.
+#: Bound, per language, of the sample of labelled texts that the likelihoods are fitted on.
 SAMPLE = 2000
-#: Languages at most, the most frequent ones of the labels.
-LANGUAGES = 64
 #: N-grams overlap, so a text counts as this many independent ones at most.
 GRAMS = 40
 #: Weight, in pages, of the level above in host and suffix priors, and of the flat prior of declarations.
@@ -42,11 +40,17 @@ def visible(markup: str) -> str:
 
 
 def likelihoods(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and log likelihoods per bucket and language, from at most ``sample`` labelled texts."""
+    """Languages, and log likelihoods per bucket and language, from at most ``sample`` texts of each language labelled."""
     rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    # the sample is bounded by the parameter, so sending its ids to every task is too
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = rows.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id")
+    # so many ids of small hash hold the sample of each language, however frequent it is
+    many = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("many"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    few = rows.select("lang", "doc_id").join(F.broadcast(many), "lang").where(share * F.col("many") <= 2 * sample).select("lang", "doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = few.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+    # the sample is bounded by the parameter and the languages, so sending its ids to every task is too
+    picked = rows.select("doc_id", "lang", F.col("text").cast("string")).join(F.broadcast(ids), ["lang", "doc_id"])
+    picked = picked.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,10 +66,9 @@ def likelihoods(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nd
         .groupBy("lang", F.col("x.ids").alias("id"))
         .agg(F.sum("x.share").alias("n"))
     )
-    frequent = shares.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    languages = sorted(r["lang"] for r in frequent.collect())
+    languages = sorted(r["lang"] for r in many.collect())
     table = np.zeros((BUCKETS, max(1, len(languages))))
-    found = sums.where(F.col("lang").isin(languages)).toArrow() if languages else None  # languages times buckets at most
+    found = sums.toArrow() if languages else None  # languages times buckets at most
     if found is not None and len(found):
         at = {lang: i for i, lang in enumerate(languages)}
         column = np.array([at[x] for x in found["lang"].to_pylist()])

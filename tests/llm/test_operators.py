@@ -330,6 +330,19 @@ def test_languages_of_pages(spark):
     assert len(got) == len(url) and len(right) > 100 and sum(right) >= 0.97 * len(right)
 
 
+def test_rare_languages_among_many(spark):
+    def text(k, seed):
+        r = random.Random(seed)
+        return " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{r.choice('aeiou')}{k}" for _ in range(40))
+
+    docs = [(i, "l000", text(0, i)) for i in range(5000)] + [(10_000 + 2 * k + j, f"l{k:03}", text(k, k + j)) for k in range(1, 75) for j in range(2)]
+    pages = [(k, f"http://host{k}.org/", f"<p>{text(k, 900 + k)}</p>") for k in range(75)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = language_id.identify(pages, spark.createDataFrame(docs, "doc_id long, lang string, text string")).collect()
+    assert {r.page_id: r.text_lang for r in got} == {k: f"l{k:03}" for k in range(75)}
+    assert all(r.lang == r.text_lang for r in got)
+
+
 def test_odd_pages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
     fr = next(r.text for r in docs.where("lang = 'fr'").collect() if len(r.text) > 300)
