@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm import (
     benchmark_decontamination,
     best_fit_packing,
+    hard_negatives,
     host_reputation,
     inverted_multi_index,
     language_id,
@@ -17,7 +18,9 @@ from corpuslens.llm import (
     minhash_near_dedup,
     personal_data,
     quality_classifier,
+    ranked_search,
     suffix_array_dedup,
+    vector_approximation,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,3 +259,81 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(root,
     s.doc_id <= coalesce(root, s.doc_id) AS kept
 FROM sets s LEFT JOIN lowest l ON l.doc_id = s.doc_id
 """
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_ranked_search"] = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), sizes AS (
+    SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM words WHERE len(w) > 0
+), asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id)
+    GROUP BY item_id, term
+), counts AS (
+    SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n
+    FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM words) GROUP BY r, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM counts, sizes GROUP BY term
+), scored AS (
+    SELECT item_id, r, any_value(doc_id) AS doc_id,
+        sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN counts USING (term) JOIN weights USING (term), sizes GROUP BY item_id, r
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query
+def op12_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every vector whose id is divisible by 50."""
+    return vector_approximation.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: Vectors of whole numbers that take part in queries 12 and 13.
+WHOLE_VECTORS = """
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+"""
+
+ORACLE["op12_vector_approximation"] = f"""
+WITH v AS ({WHOLE_VECTORS})
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.x, c.x) DESC, c.vec_id)::INT AS rank,
+    c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor whose id is divisible by 100, ten for each of its five positives."""
+    own = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", own), F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = f"""
+WITH v AS (
+    SELECT vec_id, x, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM ({WHOLE_VECTORS}) WHERE label IS NOT NULL
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
