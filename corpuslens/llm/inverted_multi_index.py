@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
+from corpuslens.llm.common import mixed
 from corpuslens.session import stored
 
 #: Centroids of a half; bound of the sample that they are fitted on; recall that the share aims at.
@@ -129,7 +131,9 @@ def nearest(
     NULL, zero, not finite, or of another than the most frequent length take no part. Repeated
     rows count once. Ties go to the smaller id. Fewer candidates than ``k`` are all returned.
     """
-    own = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v"), is_query.alias("q"))
+    # 32-bit components stay as they are, all others are taken in double precision
+    kind = "array<float>" if vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull) else "array<double>"
+    own = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("v"), is_query.alias("q"))
     own = own.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     length = own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -149,7 +153,7 @@ def nearest(
             cell = index.cells(_matrix(batch.column(1), dim)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell)], ["vec_id", "v", "cell"])
 
-    indexed = stored(entries.select("vec_id", "v").mapInArrow(placed, "vec_id long, v array<float>, cell int"), "cells")
+    indexed = stored(entries.select("vec_id", "v").mapInArrow(placed, f"vec_id long, v {kind}, cell int"), "cells")
     sizes = np.zeros(index.k**2, np.int64)
     for row in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # centroids squared at most
         sizes[row["cell"]] = row["n"]
@@ -181,16 +185,16 @@ def nearest(
             )
 
     asked = own.where("q").select("vec_id", "v").distinct()
-    visits = stored(asked.mapInArrow(probed, "query_id long, v array<float>, shard int, cells array<int>"), "visits")
+    visits = stored(asked.mapInArrow(probed, f"query_id long, v {kind}, shard int, cells array<int>"), "visits")
     blocks = visits.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = batch.column(2).to_numpy()
-            salt = batch.column(0).to_numpy() % parts[cell]
+            salt = (mixed(batch.column(0).to_numpy().astype(np.uint64)) % parts[cell].astype(np.uint64)).astype(np.int64)  # ids may have a stride
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((first[cell] + salt).astype(np.int32))], ["vec_id", "v", "cell", "shard"])
 
-    left = indexed.mapInArrow(sharded, "vec_id long, v array<float>, cell int, shard int").join(blocks, "shard")
+    left = indexed.mapInArrow(sharded, f"vec_id long, v {kind}, cell int, shard int").join(blocks, "shard")
     left = left.select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), "v",
         F.array("cell").alias("cells"),
@@ -211,7 +215,7 @@ def nearest(
             out: list[tuple] = []
             cells = t["cells"].to_pylist()
             cell = np.array([c[0] for c in cells[:of]], np.int64)
-            for low in range(of, len(side), 64):
+            for low in range(of, len(side) if of else 0, 64):
                 d = _squares(v[low : low + 64], v[:of])
                 for i in range(len(d)):
                     seen = np.zeros(len(sizes), bool)

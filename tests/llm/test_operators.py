@@ -223,6 +223,18 @@ def test_odd_vectors(spark, monkeypatch):
     assert inverted_multi_index.nearest(df.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
+def test_ids_with_a_stride_in_double_precision(spark, monkeypatch):
+    monkeypatch.setattr(inverted_multi_index, "SHARD", 16)
+    r = np.random.default_rng(8)
+    rows = [(2 * i, (np.repeat([[1.0, 0, 0, 1], [0, 1, 1, 0]], 150, 0)[i] + 1e-9 * r.normal(0, 1, 4)).tolist()) for i in range(300)]
+    got = inverted_multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, recall=1.0).collect()
+    x = np.array([v for _, v in rows])
+    for q in range(0, 300, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [(2 * int(j), float(d[j])) for j in np.argsort(d, kind="stable") if j != q][:10]
+        assert [(g.vec_id, g.score) for g in sorted(got, key=lambda g: g["rank"]) if g.query_id == 2 * q] == want
+
+
 # personal data
 
 RULES = {
