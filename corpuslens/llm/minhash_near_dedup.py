@@ -9,8 +9,8 @@ groups. What is left are regions, prefixes that hold nodes of several groups: th
 are compared across groups, in blocks, and groups that may be linked form clusters. In a cluster
 the full sets are compared across groups, again in blocks, so no pair is ever written out. A region
 is as shallow as its crowd allows: two values, beyond ``CROWD[0]`` nodes three, beyond
-``CROWD[1]`` four. Two sets of similarity 0.85 meet in no tree with a chance of 2e-7, 1e-5 and
-2e-4 at these depths.
+``CROWD[1]`` four. Two sets of similarity 0.80 meet in no tree with a chance of 1e-9, 6e-7 and
+3e-5 at these depths, of 0.85 with 7e-12, 5e-9 and 4e-7.
 """
 
 from __future__ import annotations
@@ -24,19 +24,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import WordHashes, bit_filter, mixed, passes
-from corpuslens.operators.clusters import connected_components
-from corpuslens.session import stored
+from corpuslens.llm.components import components
+from corpuslens.session import discard, stored
 
-TREES = 12
-VALUES = 8
-DEPTHS = (8, 4, 3, 2)
+TREES = 20
+VALUES = 6
+DEPTHS = (6, 4, 3, 2)
 CROWD = (256, 8192)
 #: Nodes per side of a block in which signatures are compared, shingles where sets are.
 BLOCK = 2000
 LOAD = 1_500_000
 #: Documents that one copy of a head's text is compared with.
 FAN = 256
-#: How far below the bar the estimate of a true link may lie; over four deviations at 96 values.
+#: How far below the bar the estimate of a true link may lie; over four deviations at 120 values and a bar of 0.8.
 SLACK = 0.15
 
 _rng = np.random.default_rng(20)
@@ -241,7 +241,7 @@ def _texts(docs: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def across_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, clusters: DataFrame, width: int, need: int) -> DataFrame:
-    """``(a, b)``: true links between groups of one cluster, by their full sets; enough to join all that are linked."""
+    """``(a, b)``: groups of one cluster with a true link between them, by full sets; enough to join all that are linked."""
     member = nodes.select(F.col("digest").alias("node"), "row_key", "n").join(groups, "node", "left")
     member = member.select("node", "row_key", "n", F.coalesce("component", "node").alias("group"))
     member = member.join(clusters.select(F.col("node").alias("group"), F.col("component").alias("cluster")), "group")
@@ -278,7 +278,7 @@ def across_groups(docs: DataFrame, nodes: DataFrame, groups: DataFrame, clusters
                 common = np.bincount(owner[at], minlength=len(held))
                 linked = (100 * common >= need * (size[i] + size - common)) & (labels.label != labels.label[i])
                 labels.unite(i, np.flatnonzero(linked & (part == 0)))
-            ends = [(held[i][0], held[j][0]) for i, j in labels.links]
+            ends = [(held[i][1], held[j][1]) for i, j in labels.links]
             got = list(zip(*ends, strict=True)) if ends else [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.binary()), pa.array(got[1], pa.binary())], ["a", "b"])
 
@@ -352,21 +352,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, need: int = 80) -> DataFram
     likely = stored(estimated(neighbours(rows), nodes, bar), "neighbours")
     first = likely.groupBy("node").agg(F.max_by("head", F.struct("likeness", "head")).alias("head"))
     links = confirmed(docs, nodes, first, width, need)
-    groups = stored(connected_components(links).select("node", "component"), "groups")
+    groups = components(links)
+    member = nodes.select(F.col("digest").alias("node"), "doc_id").join(groups, "node", "left")
+    member = member.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
 
     edges = stored(suspected(rows, groups, nodes, bar), "suspected")
+    used = [signed, nodes, rows, likely, links, groups, edges]
     if not edges.isEmpty():
-        clusters = stored(connected_components(edges).select("node", "component").distinct(), "clusters")
+        clusters = components(edges)
         more = across_groups(docs, nodes, groups, clusters, width, need)
-        groups = stored(connected_components(links.unionByName(more)).select("node", "component"), "groups")
+        # only groups meet here, so their components are named once more and nothing is done twice
+        joined = components(more)
+        renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        member = member.join(renamed, "component", "left").select("node", "doc_id", F.coalesce("whole", "component").alias("component"))
+        used += [clusters, more, joined]
 
-    member = nodes.select(F.col("digest").alias("node"), "doc_id").join(groups, "node", "left")
-    member = member.select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     lowest = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     ids = member.join(lowest, "component").select(F.col("node").alias("digest"), "component_id")
-    return (
+    out = stored(
         signed.select("doc_id", F.col("n").alias("n_shingles"), "digest")
         .join(ids, "digest", "left")
         .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")),
+        "near-duplicates",
     )
+    discard(*(t for t in used if hasattr(t, "stored_path")))
+    return out
