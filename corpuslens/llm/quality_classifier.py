@@ -109,8 +109,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, f
     return (vectors @ log_odds).astype(np.float32), float(bias[1] - bias[0])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of at most ``sample`` labelled documents, those of smallest id hash."""
+def fitted(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> tuple[np.ndarray, float]:
+    """Number per bucket and intercept, from at most ``sample`` labelled documents, those of smallest id hash.
+
+    One task trains, on rows bounded by ``sample``; the driver gets the numbers alone. Of rows with
+    equal ids one teaches.
+    """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -132,13 +136,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -
                 ["doc_id", "label", "ids", "share"],
             )
 
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            order = np.argsort(t["doc_id"].to_numpy(), kind="stable").tolist()
+            ids, share, label_of = t["ids"], t["share"], t["label"].to_pylist()
+            weight, intercept = train([(ids[i].values.to_numpy(), share[i].values.to_numpy(), label_of[i]) for i in order])
+            yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([intercept])], ["weight", "intercept"])
+
     # the sample is bounded by the parameter, so sending it to every task is too
     joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
-    rows = joined.mapInArrow(featured, "doc_id long, label int, ids array<int>, share array<float>").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")[:sample]
-    ids, share, label_of = rows["ids"], rows["share"], rows["label"].to_pylist()
-    # views into the table that has arrived, no copies
-    return [(ids[i].values.to_numpy(), share[i].values.to_numpy(), label_of[i]) for i in order.tolist()]
+    one = joined.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.xxhash64("text")).alias("s")).select("doc_id", "s.text", "s.label")
+    rows = one.mapInArrow(featured, "doc_id long, label int, ids array<int>, share array<float>")
+    got = rows.repartition(1).mapInArrow(trained, "weight binary, intercept double").first()
+    return (np.frombuffer(got["weight"], np.float32), got["intercept"]) if got else (np.zeros(BUCKETS, np.float32), 0.0)
 
 
 class _Words(dict):
@@ -203,10 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     empty. With no labelled row at all every score is 0.5. Repeated rows score alike.
     """
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3)) == 1
-    rows = training_rows(docs, labels.where(~held), label, sample)
-    weight, intercept = train(rows) if rows else (np.zeros(BUCKETS, np.float32), 0.0)
-    del rows
-    pa.default_memory_pool().release_unused()
+    weight, intercept = fitted(docs, labels.where(~held), label, sample)
     plain = docs.drop("held_out", "score", "predicted")
     return (
         score(plain, weight, intercept)
