@@ -6,9 +6,9 @@ on a hash; those that meet are then compared byte by byte with the first of thei
 stays. Everything runs in the JVM. Texts are shuffled once, by document; only chunks with an
 equal hash elsewhere travel to the comparison.
 
-Chunks meet only where cuts fall inside a passage. On request they are seeds: each grows over the
-lines around it as long as every two neighbouring lines stand so at an earlier place, and other
-stretches of such lines go as well if they are long enough.
+Chunks meet only where cuts fall inside a passage. On request a second kind of chunk is added, from each
+line down and up, just long enough to hold over 50 words: whatever is repeated for so long is covered
+by such chunks wherever it is cut, and each of them must stand whole at one earlier place to go.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ LINES = 3
 FACTOR = 31
 #: Lines with something in them that a chunk needs to be compared at all.
 LEAST = 2
-#: A repeated stretch of lines with more words than this goes though no chunk met in it.
+#: Chunks that start or end at every line are the shortest with more words than this.
 WORDS = 50
 
 
@@ -61,71 +61,60 @@ def _chunk_text(lines: Column, s: Column, e: Column) -> Column:
     return F.array_join(F.slice(lines, s, e - s + 1), "\n")
 
 
-def _chunked(docs: DataFrame, window: int, mean: int) -> DataFrame:
-    """``row_key, doc_id, chunks``: first and last line, hash and length of each chunk worth comparing; ``n_chunks``."""
+def _described(lines: Column, s: Column, e: Column) -> Column:
+    text = _chunk_text(lines, s, e)
+    full = F.size(F.filter(F.slice(lines, s, e - s + 1), lambda x: F.length(F.trim(x)) > 0))
+    return F.struct(s.alias("s"), e.alias("e"), F.xxhash64(text).alias("h"), F.length(text).alias("n"), full.alias("full"))
+
+
+def _chunked(docs: DataFrame, window: int, mean: int, passages: bool) -> DataFrame:
+    """``row_key, doc_id, chunks``: first and last line, hash and length of each chunk worth comparing; ``n_chunks``.
+
+    With ``passages`` the chunks that start or end at every line are among them; they overlap.
+    """
     lined = docs.select("row_key", "doc_id", lines_of(F.col("text")).alias("lines"))
     hashed = lined.withColumn("hashes", _line_hashes(F.col("lines")))
     ended = hashed.withColumn("ends", _ends(F.col("hashes"), window, mean))
     lines = F.col("lines")
-
-    def described(s: Column, e: Column) -> Column:
-        text = _chunk_text(lines, s, e)
-        full = F.size(F.filter(F.slice(lines, s, e - s + 1), lambda x: F.length(F.trim(x)) > 0))
-        return F.struct(s.alias("s"), e.alias("e"), F.xxhash64(text).alias("h"), F.length(text).alias("n"), full.alias("full"))
-
     starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(F.col("ends"), 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda x: x + 1))
     starts = F.when(F.size("ends") > 0, starts).otherwise(F.array().cast("array<int>"))
-    found = F.filter(F.zip_with(starts, F.col("ends"), described), lambda c: c["full"] >= LEAST)
+    found = F.filter(F.zip_with(starts, F.col("ends"), lambda s, e: _described(lines, s, e)), lambda c: c["full"] >= LEAST)
+    if passages:
+        filled = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.length(F.trim(F.get(lines, i - 1))) > 0)
+        ended = ended.withColumn("filled", F.when(F.size("lines") > 0, filled).otherwise(F.array().cast("array<int>")))
+        words = F.transform("filled", lambda i: F.size(F.filter(F.split(F.get(lines, i - 1), r"\s+"), lambda x: x != "")))
+        ended = ended.withColumn("words", words).withColumn("down", _reach(F.col("words"))).withColumn("up", _reach(F.reverse("words")))
+        # the shortest chunk from each line down, and from each line up: together they cover a passage to its ends
+        down = F.zip_with("filled", "down", lambda s, j: F.struct(s.alias("s"), F.get("filled", j - 1).alias("e")))
+        up = F.zip_with(F.reverse("filled"), "up", lambda e, j: F.struct(F.get("filled", F.size("filled") - j).alias("s"), e.alias("e")))
+        spans = F.array_distinct(F.filter(F.concat(down, up), lambda c: c["s"].isNotNull() & c["e"].isNotNull()))
+        found = F.array_distinct(F.concat(found, F.transform(spans, lambda c: _described(lines, c["s"], c["e"]))))
     return ended.select("row_key", "doc_id", F.size("ends").alias("n_chunks"), found.alias("chunks"))
 
 
-def _paired(docs: DataFrame) -> DataFrame:
-    """``row_key, doc_id, pairs``: neighbouring lines with something in them, as hashes of all from one to the other.
+def _reach(words: Column) -> Column:
+    """For each filled line the number of the one that the shortest chunk from it reaches: ``LEAST`` lines, over ``WORDS`` words; else NULL."""
+    none = F.struct(F.lit(0).alias("w"), F.lit(0).alias("j"))
 
-    ``s`` and ``e`` take in the blank lines at a text's own start and end; ``v`` and ``w`` are the words of the two lines.
-    """
-    lined = docs.select("row_key", "doc_id", lines_of(F.col("text")).alias("lines"))
-    lines, n = F.col("lines"), F.size("lines")
-    some = F.filter(F.sequence(F.lit(1), n), lambda i: F.length(F.trim(F.get(lines, i - 1))) > 0)
-    full = lined.withColumn("full", F.when(n > 0, some).otherwise(F.array().cast("array<int>"))).where(F.size("full") > 1)
-    k = F.size("full")
-
-    def words(i: Column) -> Column:
-        return F.size(F.filter(F.split(F.get(lines, i - 1), r"\s+"), lambda x: x != ""))
-
-    def described(s: Column, e: Column) -> Column:
-        text = _chunk_text(lines, s, e)
-        first, last = s == F.get("full", F.lit(0)), e == F.get("full", k - 1)
-        return F.struct(
-            F.when(first, 1).otherwise(s).alias("s"), F.when(last, n).otherwise(e).alias("e"),
-            F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), words(s).alias("v"), words(e).alias("w"),
-        )
+    def done(a: Column) -> Column:
+        return (a["w"] > WORDS) & (a["j"] >= LEAST)
 
-    return full.select("row_key", "doc_id", F.zip_with(F.slice("full", 1, k - 1), F.slice("full", 2, k - 1), described).alias("pairs"))
+    def ends(x: Column, k: Column) -> Column:
+        # a filled line has a word, so no chunk needs more lines than these
+        near = F.slice(words, k + 1, WORDS + LEAST)
+        last = F.aggregate(near, none, lambda a, w: F.when(done(a), a).otherwise(F.struct((a["w"] + w).alias("w"), (a["j"] + 1).alias("j"))))
+        return F.when(done(last), k + last["j"])
 
+    return F.transform(words, ends)
 
-def _passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``row_key, s, e`` of the stretches of lines of which every two neighbours stand so at an earlier place.
 
-    A stretch goes if it holds one of the ``seeds``, or more than ``WORDS`` words. A line's first
-    place in the corpus is in no such stretch, so no line is lost altogether.
-    """
-    each = stored(_paired(docs), "pairs").select("row_key", "doc_id", F.explode("pairs").alias("p")).select("row_key", "doc_id", "p.*")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "s")
-    met = each.groupBy("h", "g").agg(F.count("*").alias("copies"), F.min(order).alias("first")).where("copies > 1").drop("copies")
-    again = each.join(met.hint("merge"), ["h", "g"]).where("first.row_key != row_key OR first.s != s")
-    again = again.select("row_key", "s", "e", "v", "w", F.lit(0).alias("seed")).dropDuplicates(["row_key", "s"])
-    seeded = seeds.select("row_key", "s", "e", F.lit(0).alias("v"), F.lit(None).cast("int").alias("w"), F.lit(1).alias("seed"))
-    # within one text; what shares a line belongs together
-    by_start = Window.partitionBy("row_key").orderBy("s", "e", "seed")
-    reach = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    apart = again.unionByName(seeded).withColumn("new", (F.coalesce(reach, F.lit(0)) < F.col("s")).cast("int"))
+def _united(spans: DataFrame) -> DataFrame:
+    """``row_key, s, e`` of the stretches of lines that overlapping spans cover."""
+    by_start = Window.partitionBy("row_key").orderBy("s", "e")
+    before = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    apart = spans.withColumn("new", (F.coalesce(before, F.lit(0)) < F.col("s")).cast("int"))
     island = F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    words = F.sum("v") + F.coalesce(F.max_by("w", F.when(F.col("w").isNotNull(), F.col("e"))), F.lit(0))
-    whole = apart.withColumn("island", island).groupBy("row_key", "island").agg(
-        F.min("s").alias("s"), F.max("e").alias("e"), F.max("seed").alias("seed"), words.alias("words")
-    )
-    return whole.where((F.col("seed") == 1) | (F.col("words") > WORDS)).select("row_key", "s", "e")
+    return apart.withColumn("island", island).groupBy("row_key", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES, passages: bool = False) -> DataFrame:
@@ -134,14 +123,16 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES, passa
     Of equal chunks the first stays, by doc_id (NULL last), then by place. Chunks with fewer than
     two lines that hold more than blanks are left alone. NULL texts stay NULL and have no lines,
     like empty ones. Repeated rows are one document and get equal results. Other columns pass
-    through; the four counters replace columns of their names. With ``passages`` whole repeated
-    passages go, however the chunks are cut; ``removed_chunks`` counts them instead.
+    through; the four counters replace columns of their names. With ``passages`` every passage of
+    several lines and over 50 words goes that stands whole at one earlier place, however chunks are
+    cut; ``removed_chunks`` counts the stretches of lines removed instead. The first copy of a line
+    always stays.
     """
     counters = ("n_lines", "n_chunks", "removed_chunks", "removed_lines")
     own = docs.drop(*counters)
     keyed = own.withColumn("_line_dedup_row", F.xxhash64("doc_id", F.col("text").cast("string")))
     slim = keyed.select(F.col("_line_dedup_row").alias("row_key"), "doc_id", F.col("text").cast("string"))
-    chunked = stored(_chunked(slim, window, mean), "chunks")
+    chunked = stored(_chunked(slim, window, mean, passages), "chunks")
 
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "s")
     each = chunked.select("row_key", "doc_id", F.explode("chunks").alias("c")).select("row_key", "doc_id", "c.s", "c.e", "c.h", "c.n").distinct()
@@ -163,7 +154,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, mean: int = LINES, passa
     firsts = pieces.where("is_first").select("h", "n", F.col("piece").alias("first_piece")).distinct()
     same = pieces.where("NOT is_first").join(firsts, ["h", "n"]).where("piece = first_piece")
     if passages:
-        same = _passages(slim, same)
+        same = _united(same.select("row_key", "s", "e"))
     gone = same.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("_line_dedup_gone"))
 
     whole = lines_of(F.col("text").cast("string"))
