@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.llm import line_dedup, minhash_near_dedup, suffix_array_dedup
+from corpuslens.llm.components import components as contracted
 
 SCHEMA = "doc_id long, text string, row_key string, digest int, _line_dedup int"
 
@@ -175,6 +176,37 @@ def test_repeated_rows_are_one_document(spark):
 
 
 def test_chance_of_missing_a_link():
-    assert (1 - 0.85**2) ** minhash_near_dedup.TREES < 3e-7
-    assert (1 - 0.85**4) ** minhash_near_dedup.TREES < 3e-4
+    for bar, chances in ((0.8, (2e-9, 6e-7, 3e-5)), (0.85, (8e-12, 6e-9, 4e-7))):
+        for depth, chance in zip((2, 3, 4), chances, strict=True):
+            assert (1 - bar**depth) ** minhash_near_dedup.TREES < chance
+        deviation = (bar * (1 - bar) / (minhash_near_dedup.TREES * minhash_near_dedup.VALUES)) ** 0.5
+        assert minhash_near_dedup.SLACK > 4 * deviation
     assert minhash_near_dedup.SLACK > 4 * math.sqrt(0.85 * 0.15 / 96)
+
+
+def test_components_of_odd_graphs(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(300)]  # a chain
+    edges += [(1000, 1001 + i) for i in range(200)]  # a star
+    edges += [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(220)] + [(5000, 5000), (None, 3), (3, None), (7, 6), (6, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            root[find(a)] = find(b)
+    want = {}
+    for x in root:
+        want.setdefault(find(x), set()).add(x)
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = {}
+    rows = contracted(frame).collect()
+    for r in rows:
+        got.setdefault(r.component, set()).add(r.node)
+    assert len(rows) == len(root) and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert all(c in nodes for c, nodes in got.items())
+    assert contracted(frame.limit(0)).collect() == []

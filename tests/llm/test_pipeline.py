@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuslens.llm import queries
+from corpuslens.llm import line_dedup, queries
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -31,6 +31,25 @@ def test_stages_keep_columns_and_only_drop_rows(spark, docs):
             assert all(r == before[r.doc_id] for r in rows)
 
 
+@pytest.mark.parametrize("name", ["quality", "lines", "near_duplicates", "decontamination"])
+def test_no_column_of_the_table_is_replaced(spark, docs, name):
+    clashing = ["score", "Predicted", "held_out", "n_lines", "n_chunks", "removed_lines", "removed_chunks", "_copy", "_id", "row_key", "rank", "_column_0", "places"]
+    wide = docs.limit(60).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in clashing})
+    out = STAGES[name](spark, wide, SF)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in clashing)
+
+
+def test_a_repeated_id_teaches_once(spark):
+    rows = [(1, f"bad {k}") for k in range(400)] + [(i, "fine good words here") for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, int(i > 1)) for i in range(1, 40)], "doc_id long, quality int")
+    from corpuslens.llm import quality_classifier
+
+    out = quality_classifier.classify(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(out) == 438 and all(0 <= r.score <= 1 for r in out)
+
+
 def test_rejected_documents_go(spark, docs):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = {r.doc_id for r in STAGES["quality"](spark, docs, SF).collect()}
@@ -68,22 +87,50 @@ def test_emptied_documents_go(spark, docs):
 
 
 def passages_by_brute_force(rows):
-    """Texts without stretches over 50 words of which every two neighbouring lines stand so at an earlier place."""
-    seen, out = set(), {}
+    """Lines left once every passage of two filled lines or more and over 50 words that stands whole at an earlier place has gone."""
+    first, gone = {}, {}
     for i, t in rows:
         lines = t.split("\n")
-        again = [p in seen or p in set(zip(lines[:k], lines[1 : k + 1])) for k, p in enumerate(zip(lines, lines[1:]))]
-        seen.update(zip(lines, lines[1:]))
-        gone, k = set(), 0
-        while k < len(again):
-            end = k
-            while end < len(again) and again[end]:
-                end += 1
-            if end > k and sum(len(x.split()) for x in lines[k : end + 1]) > 50:
-                gone.update(range(k, end + 1))
-            k = end + 1
-        out[i] = [x for k, x in enumerate(lines) if k not in gone]
-    return out
+        full = [k for k, x in enumerate(lines) if x.strip(" ")]
+        gone[i] = set()
+        for a in range(len(full)):
+            for b in range(a + 1, len(full)):
+                stretch = lines[full[a] : full[b] + 1]
+                if sum(len(x.split()) for x in stretch) > 50:
+                    if first.setdefault(tuple(stretch), (i, full[a])) != (i, full[a]):
+                        gone[i].update(range(full[a], full[b] + 1))
+    return {i: [x for k, x in enumerate(t.split("\n")) if k not in gone[i]] for i, t in rows}
+
+
+def lines_left(spark, docs, rows):
+    out = STAGES["lines"](spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema), SF).collect()
+    return {r.doc_id: r.text.split("\n") for r in out}
+
+
+def test_text_that_is_repeated_nowhere_stays(spark, docs):
+    lines = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(6)]
+    rows = [(k, "\n".join([f"own {k}", lines[k], lines[k + 1], f"more {k}"])) for k in range(5)] + [(9, "\n".join(lines))]
+    assert lines_left(spark, docs, rows) == passages_by_brute_force(rows) == {i: t.split("\n") for i, t in rows}
+
+
+def test_any_long_passage_goes(spark, docs):
+    r = random.Random(6)
+    pool = [" ".join(f"l{k}w{i}" for i in range(r.choice([1, 3, 9, 26, 60]))) for k in range(40)] + ["", " "]
+    rows = []
+    for i in range(90):
+        text = [r.choice(pool) for _ in range(r.randrange(3))]
+        for _ in range(r.randrange(4)):
+            at, n = r.randrange(36), r.randrange(1, 5)
+            text += pool[at : at + n] + [f"own {i} {r.random()}"]
+        rows.append((i, "\n".join([*text, f"end {i}"])))
+    want, got = passages_by_brute_force(rows), lines_left(spark, docs, rows)
+    plain = {x.doc_id: x.text.split("\n") for x in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(map(len, want.values())) < sum(len(t.split("\n")) for _, t in rows) - 30
+    for i, t in rows:
+        # what no passage holds may still go with a chunk, and nothing else may
+        assert not collections.Counter(got[i]) - collections.Counter(want[i])
+        if plain[i] == t.split("\n"):
+            assert got[i] == want[i]
 
 
 def test_whole_passages_go_from_any_context(spark, docs):
@@ -113,4 +160,4 @@ def test_whole_run(spark):
     per = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
     assert per and all(r.first == 0 and r.n == r.end <= 2048 for r in per)
     assert queries.QUERIES.keys() == {f"op{n}_{name}" for n, name in enumerate(
-        ["benchmark_decontamination", "inverted_multi_index", "personal_data", "host_reputation", "language_id", "line_dedup", "suffix_array_dedup", "quality_classifier", "best_fit_packing", "minhash_near_dedup"], 1)}
+        ["benchmark_decontamination", "inverted_multi_index", "personal_data", "host_reputation", "language_id", "line_dedup", "suffix_array_dedup", "quality_classifier", "best_fit_packing", "minhash_near_dedup", "ranked_search", "vector_approximation", "hard_negatives"], 1)}
