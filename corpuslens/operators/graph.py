@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import count
 
@@ -15,7 +16,7 @@ from corpuslens.constants import (
     VALIDATOR_LIBS,
 )
 from corpuslens.functions.text import dirname, join_path
-from corpuslens.session import cut_lineage
+from corpuslens.session import cut_lineage, shared_folder
 
 # Fixed: import statements by language; group 1 is the specifier.
 JS_IMPORT = (
@@ -199,36 +200,94 @@ def _cyclic_core(edges: DataFrame) -> DataFrame:
         size = new
 
 
+def _ways_back(core: DataFrame, cap: int, max_len: int | None) -> DataFrame:
+    """``(project_id, start, node, d)``: fewest imports from a file back to ``start``, through files after it in name order.
+
+    The rows with ``node = start`` close a cycle of ``d`` files. All starts of a project are searched at once,
+    one step a round, until ``cap`` of them have closed. A round adds its rows to one stored table.
+    """
+    spark = core.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/ways-back-{uuid.uuid4().hex}"
+    name = core.schema["importer"].dataType.simpleString()
+    schema = f"project_id {core.schema['project_id'].dataType.simpleString()}, start {name}, node {name}, d int"
+    back = core.select("project_id", F.col("importee").alias("node"), F.col("importer").alias("before"))
+    new = back.where("before > node").select("project_id", F.col("node").alias("start"), F.col("before").alias("node"))
+    for d in count(1):
+        new.withColumn("d", F.lit(d)).write.mode("append").parquet(folder)
+        seen = spark.read.schema(schema).parquet(folder)
+        closed = seen.where("node = start").groupBy("project_id").agg(F.countDistinct("start").alias("n"))
+        frontier = seen.where((F.col("d") == d) & (F.col("node") > F.col("start"))).drop("d")
+        frontier = frontier.join(closed.where(F.col("n") >= cap), "project_id", "left_anti")
+        if d == max_len or frontier.isEmpty():
+            return seen
+        step = frontier.join(back, ["project_id", "node"]).where("before >= start")
+        step = step.select("project_id", "start", F.col("before").alias("node")).distinct()
+        new = step.join(seen.select("project_id", "start", "node"), ["project_id", "start", "node"], "left_anti")
+
+
+def _grown_cycles(starts: DataFrame, core: DataFrame, ways: DataFrame, cap: int) -> DataFrame:
+    """``(project_id, cycle, length)`` of the ``starts (project_id, start, most, direct)`` up to ``most`` files (NULL: any).
+
+    A path is only followed where it can still return in time. If a start is ``direct``, every walk
+    that returns in time is a cycle, so of paths of one length to one file the first ``cap`` by
+    name are enough. A project stops growing once it has ``cap`` cycles, as later ones are longer.
+    """
+    key = ["project_id", "start"]
+    step = core.select("project_id", F.col("importer").alias("last"), F.col("importee").alias("nxt"))
+    ends = ways.select(*key, F.col("node").alias("nxt"), F.when(F.col("node") == F.col("start"), 0).otherwise(F.col("d")).alias("rest")).distinct()
+    paths = starts.select(*key, "most", "direct", F.col("start").alias("last"), F.array("start").alias("path"))
+    among = Window.partitionBy(*key, "last").orderBy(F.array_join("path", ">"))
+    found = None
+    for length in count(1):
+        grown = paths.join(step, ["project_id", "last"]).where("nxt >= start").join(ends, [*key, "nxt"])
+        grown = cut_lineage(grown.where(F.col("most").isNull() | (F.col("rest") + length <= F.col("most"))))
+        closed = grown.where("nxt = start").select("project_id", F.array_join("path", ">").alias("cycle"), F.lit(length).alias("length"))
+        found = cut_lineage(closed if found is None else found.unionByName(closed))
+        full = found.groupBy("project_id").count().where(F.col("count") >= cap).select("project_id")
+        paths = (
+            grown.where("nxt <> start AND NOT array_contains(path, nxt)")
+            .join(full, "project_id", "left_anti")
+            .select(*key, "most", "direct", F.col("nxt").alias("last"), F.concat("path", F.array("nxt")).alias("path"))
+            .withColumn("n", F.row_number().over(among))
+            .where((F.col("n") <= cap) | ~F.col("direct"))
+            .drop("n")
+        )
+        if paths.isEmpty():
+            return found
+
+
 def dependency_cycles(edges: DataFrame, max_len: int | None = None, cap: int = FACT_CAPS["cycles"]) -> DataFrame:
     """The first ``cap`` simple cycles per project, shortest first, smallest file first in each.
 
-    Paths grow from a cycle's smallest file, to any length unless ``max_len`` is given. Since
-    shorter cycles rank first, a project stops growing once it has ``cap`` of them.
+    Cycles have any length unless ``max_len`` is given. Each file's shortest cycle among the files
+    after it in name order is found first; the ``cap``-th shortest of them bounds what is written
+    out. A walk from such a file that returns before its shortest cycle and the shortest one after it
+    could both be walked is a cycle itself, so the many ways round a layered graph are cut to
+    ``cap`` per file and length. Only projects that have fewer cycles than ``cap`` up to
+    there, and longer ones beside, have their longer cycles written out path by path.
     """
     edges = edges.distinct()
     loops = edges.where("importer = importee").select(
         "project_id", F.col("importer").alias("cycle"), F.lit(1).alias("length")
     )
     core = _cyclic_core(edges)
-    step = core.select("project_id", F.col("importer").alias("last"), F.col("importee").alias("nxt"))
-    paths = step.where("nxt > last").select(
-        "project_id", F.col("last").alias("start"), F.col("nxt").alias("last"), F.array("last", "nxt").alias("path")
-    )
     found = cut_lineage(loops)
-    for length in count(2):
-        grown = cut_lineage(paths.join(step, ["project_id", "last"]).where("nxt >= start"))
-        closed = grown.where("nxt = start").select(
-            "project_id", F.array_join("path", ">").alias("cycle"), F.lit(length).alias("length")
-        )
-        found = cut_lineage(found.unionByName(closed))
-        full = found.groupBy("project_id").count().where(F.col("count") >= cap).select("project_id")
-        paths = (
-            grown.where("nxt <> start AND NOT array_contains(path, nxt)")
-            .join(full, "project_id", "left_anti")
-            .select("project_id", "start", F.col("nxt").alias("last"), F.concat("path", F.array("nxt")).alias("path"))
-        )
-        if length == max_len or paths.isEmpty():
-            break
+    if not core.isEmpty():
+        ways = _ways_back(core, cap, max_len)
+        own = cut_lineage(ways.where("node = start").groupBy("project_id", "start").agg(F.min("d").alias("shortest")))
+        # the shortest cycle among later starts, through the last start of each length
+        last = own.groupBy("project_id", F.col("shortest").alias("later")).agg(F.max("start").alias("last"))
+        later = own.join(last, "project_id").where("last > start").groupBy("project_id", "start").agg(F.min("later").alias("later"))
+        own = own.join(later, ["project_id", "start"], "left")
+        nth = F.row_number().over(Window.partitionBy("project_id").orderBy("shortest", "start"))
+        most = own.withColumn("n", nth).where(F.col("n") <= cap).groupBy("project_id").agg(F.max("shortest").alias("most"))
+        near = own.join(most, "project_id").where("shortest <= most")
+        direct = F.col("later").isNull() | (F.col("most") < F.col("shortest") + F.col("later"))
+        found = cut_lineage(found.unionByName(_grown_cycles(near.withColumn("direct", direct), core, ways, cap)))
+        enough = found.groupBy("project_id").count().where(F.col("count") >= cap)
+        rest = own.join(enough, "project_id", "left_anti").select("project_id", "start", F.lit(max_len).cast("int").alias("most"), F.col("later").isNull().alias("direct"))
+        if not rest.isEmpty():
+            found = found.unionByName(_grown_cycles(rest, core, ways, cap)).distinct()
     w = Window.partitionBy("project_id").orderBy("length", "cycle")
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
 

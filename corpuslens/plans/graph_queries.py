@@ -131,7 +131,7 @@ def module_globals(fx: Fixtures) -> DataFrame:
 def repo_context(fx: Fixtures) -> DataFrame:
     f, e, p = one_project(fx.files), test_edges(fx), packages(fx)
     r = graph.render_repo_context(
-        graph.dependency_cycles(e, 4), graph.tested_by(e), graph.public_api(p, barrels(fx)), graph.library_flag(p),
+        graph.dependency_cycles(e), graph.tested_by(e), graph.public_api(p, barrels(fx)), graph.library_flag(p),
         graph.build_time_files(f), graph.validator_deps(p), graph.module_globals(f),
     )
     return r.select(F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
