@@ -155,6 +155,30 @@ def test_keyword_search_equals_full_scan(spark, seed):
         assert got == {k: v for k, v in want.items() if v}
 
 
+def test_keyword_search_opens_few_blocks(spark, monkeypatch):
+    """One word in every chunk: only its densest postings are met, and the k-th score closes the rest."""
+    n = 600
+    rows = [(0, i, f"src/n{i}.ts", f"c{i}", "sym", "common " * (1 + i % 7) + " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26)}" for _ in range(i % 11 + 1))) for i in range(n)]
+    df = spark.createDataFrame(rows, "project_id long, seq long, path string, chunk_id string, symbol_name string, content string")
+    lists, cut = [], retrieval.cut_lineage
+
+    def counted(frame):
+        if frame.columns == ["project_id", "subject", "chunk_id", "seq", "score"]:
+            lists.append(frame)
+        return cut(frame)
+
+    monkeypatch.setattr(retrieval, "cut_lineage", counted)
+    got = retrieval.keyword_search(df, rare=10, champions=8).collect()
+    words = {r[3]: re.findall(r"\b[a-z]{4,}\b", r[5]) for r in rows}
+    for i in range(0, n, 97):
+        own = set(words[f"c{i}"])
+        score = {c: sum(x in own for x in w) / (len(w) + 1) for c, w in words.items() if c != f"c{i}"}
+        best = sorted(score, key=lambda c: (-score[c], int(c[1:])))[:3]
+        assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.subject == f"c{i}"] == best
+    # the list of the rare words and the first block of eight postings; the word's other 592 are not opened
+    assert len(got) == 3 * n and len(lists) == 2
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_related_chunks_equal_full_scan(spark, seed):
     rows, df = random_chunks(spark, seed)
