@@ -5,29 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.functions.ordered import numbered
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as the file system that holds it names it, with its scheme and host."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
 
 def read_corpus(spark: SparkSession, root: str, project_id: int = 0, pattern: str = "*") -> DataFrame:
     """One row per file below ``root``: relative path, text, size, time of change, lines.
 
-    Spark lists the files. ``scope.size_guard`` marks those too large for a review.
+    ``root`` may be a plain path or in any store that Spark reads. ``file_seq`` numbers the files densely in
+    path order, so it names one file alone. Spark lists the files; the numbers come from the
+    list, without their contents. Empty files are not listed. ``scope.size_guard`` marks those too large for a review.
     """
-    base = root.rstrip("/") + "/"
+    base = _qualified(spark, root).rstrip("/") + "/"
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(root)
     )
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    rel = F.substring(plain, F.lit(len(base) + 1), F.length(plain))
-    return raw.select(
-        F.lit(project_id).cast("long").alias("project_id"),
-        F.xxhash64(rel).alias("file_seq"),
-        rel.alias("path"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("last_modified"),
-    ).withColumn("lines_of_code", F.size(F.split("content", "\n")))
+    rel = F.substring("path", F.lit(len(base) + 1), F.length("path"))
+    places = numbered(raw.select(rel.alias("path")), ["path"], "file_seq")
+    return (
+        raw.withColumn("path", rel)
+        .join(places, "path")
+        .select(
+            F.lit(project_id).cast("long").alias("project_id"),
+            "file_seq",
+            "path",
+            F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+            F.col("length").alias("size_bytes"),
+            F.col("modificationTime").alias("last_modified"),
+        )
+        .withColumn("lines_of_code", F.size(F.split("content", "\n")))
+    )
 
 
 def read_corpus_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -111,35 +112,49 @@ def latest_findings(results: DataFrame) -> DataFrame:
     )
 
 
-def latest_stream(results: DataFrame) -> DataFrame:
+def _after(state: tuple, events: list) -> tuple:
+    """``(n, seq, first_seq, first_us)`` of a file once these results, in order, have come."""
+    n, seq, first_seq, first_us = state
+    for us, s, found in events:
+        if found and not n:
+            first_seq, first_us = s, us
+        n, seq = found, s
+    return (n, seq, first_seq, first_us) if n else (0, seq, 0, 0)
+
+
+def latest_stream(results: DataFrame, delay: str = "1 hour") -> DataFrame:
     """``latest_findings`` kept up to date: a row per file whose state a micro-batch has changed.
 
-    ``n_findings`` 0 says that the file is clean. Results of a file may come unordered within a
-    micro-batch, not across: a watcher reports them as they happen. The state of a file is one row.
+    ``n_findings`` 0 says that the file is clean. Results may come in any order, across micro-batches too, as
+    long as they are no more than ``delay`` behind the latest; those that are later still are left out. The
+    state of a file is what was settled before the watermark, and the results after it in order.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, us, n, first_seq, first_us = state.get if state.exists else (0, 0, 0, 0, 0)
-        changed = False
-        for r in pd.concat(list(frames)).sort_values(["us", "seq"]).itertuples():
-            if r.n_findings > 0:
-                if n == 0:
-                    first_seq, first_us = int(r.seq), int(r.us)
-                seq, us, n, changed = int(r.seq), int(r.us), int(r.n_findings), True
-            elif not r.errored:
-                changed = changed or n > 0
-                seq, us, n = int(r.seq), int(r.us), 0
-        if n:
-            state.update((seq, us, n, first_seq, first_us))
+        *settled, open_, shown = state.get if state.exists else (0, 0, 0, 0, "[]", "[0, 0, 0, 0]")
+        settled, events = tuple(settled), json.loads(open_)
+        for r in pd.concat(list(frames)).itertuples():
+            if r.n_findings > 0 or not r.errored:
+                events.append([int(r.us), int(r.seq), int(max(r.n_findings, 0))])
+        events.sort()
+        now = _after(settled, events)
+        before, shown = json.loads(shown), json.dumps(now)
+        changed = before != json.loads(shown) and (before[0] > 0 or now[0] > 0)
+        line = state.getCurrentWatermarkMs() * 1000
+        past = [e for e in events if e[0] < line]
+        settled, events = _after(settled, past), events[len(past) :]
+        if settled[0] or events:
+            state.update((*settled, json.dumps(events), shown))
         elif state.exists:
             state.remove()
+        n, seq, first_seq, first_us = now
         rows = [(*key, n, seq, first_us, first_seq)] if changed else []
         yield pd.DataFrame(rows, columns=["project_id", "path", "n_findings", "seq", "first_us", "first_seq"])
 
     out = "project_id long, path string, n_findings long, seq long, first_us long, first_seq long"
-    keyed = results.withColumn("us", F.unix_micros("ts")).groupBy("project_id", "path")
+    keyed = results.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts")).groupBy("project_id", "path")
     live = keyed.applyInPandasWithState(
-        step, out, "seq long, us long, n long, first_seq long, first_us long", "update", GroupStateTimeout.NoTimeout
+        step, out, "n long, seq long, first_seq long, first_us long, open string, shown string", "update", GroupStateTimeout.EventTimeTimeout
     )
     return live.select("project_id", "path", "n_findings", "seq", F.timestamp_micros("first_us").alias("first_seen"), "first_seq")
 
