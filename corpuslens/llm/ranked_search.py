@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 
 from corpuslens.session import discard, stored
 
-#: Terms of the items of one pass (an item of more terms is a pass of its own), documents of a tree, documents of a leaf, trees of a task.
+#: Terms of the items of one pass (an item of more terms is a pass of its own), documents of a tree and of a leaf.
 BLOCK_TERMS = 100_000
 TREE = 16_384
 LEAF = 32
-TREES = 8
 #: Bytes of a text that are split at once.
 PIECE = 1 << 20
 #: Fixed values of the score: ASCII characters that are no part of a term, and the constants of the length norm and of the gain.
@@ -60,7 +59,7 @@ class Tree:
     documents; children of a node are numbered in a row. Small sibling stretches share a leaf.
     """
 
-    def __init__(self, ids: np.ndarray, norm: np.ndarray, start: np.ndarray, term: np.ndarray, tf: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, norm: np.ndarray, start: np.ndarray, term: np.ndarray, tf: np.ndarray, leaf: int):
         self.ids, self.start, self.term = ids, start, term
         self.gain = gain(tf, np.repeat(norm, np.diff(start)))
         spans, children, todo = [(0, len(ids))], {}, [0]
@@ -222,10 +221,9 @@ def _block(docs: DataFrame, wanted: pa.Table, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "norm", "path", "tf", "row"])
 
     paths = vectors.where(F.size("term") > 0).mapInArrow(ordered, "doc_id long, norm long, path array<int>, tf array<int>, row long").where(F.size("path") > 0)
-    trees = -(-totals["met"] // TREE)
-    tasks = max(1, min(trees, spark.sparkContext.defaultParallelism), -(-trees // TREES))
+    # about one tree a task, so that none grows with the input;
     # documents of equal paths are many where texts are copies; ids and rows part them
-    sorted_ = paths.repartitionByRange(tasks, "path", "doc_id", "row").sortWithinPartitions("path", "doc_id", "row")
+    sorted_ = paths.repartitionByRange(max(1, -(-totals["met"] // TREE)), "path", "doc_id", "row").sortWithinPartitions("path", "doc_id", "row")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[int, int]]] = {item: [] for item in queries}
@@ -235,7 +233,7 @@ def _block(docs: DataFrame, wanted: pa.Table, k: int) -> DataFrame:
             t = pa.Table.from_batches(rows).combine_chunks()
             path, tf = t["path"].combine_chunks(), t["tf"].combine_chunks()
             start = path.offsets.to_numpy().astype(np.int64)
-            tree = Tree(t["doc_id"].to_numpy(), t["norm"].to_numpy(), start - start[0], path.flatten().to_numpy(), tf.flatten().to_numpy().astype(np.int64))
+            tree = Tree(t["doc_id"].to_numpy(), t["norm"].to_numpy(), start - start[0], path.flatten().to_numpy(), tf.flatten().to_numpy().astype(np.int64), LEAF)
             for item, (ranks, weights) in queries.items():
                 scratch[ranks] = weights
                 tree.search(scratch, best[item], k)
