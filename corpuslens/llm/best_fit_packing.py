@@ -193,36 +193,101 @@ def _exchange(a: Bin, b: Bin, room: int) -> tuple[tuple[int, ...], tuple[int, ..
     return best
 
 
-def improve(bins: Counter, limit: int, tries: int = 100_000, partners: int = 60) -> Counter:
+def _sums(b: Bin) -> tuple[list[int], list[int]]:
+    """Lengths of a class, and sums of two of its pieces."""
+    twos = {x + y for i, (x, k) in enumerate(b) for y, _ in b[i if k > 1 else i + 1 :]}
+    return [x for x, _ in b], sorted(twos)
+
+
+class _Underfull:
+    """Classes with room, and by class what it can give back that is nearest below a length.
+
+    An exchange that brings ``x`` to a class raises its fill within its room just when the largest
+    return below ``x`` leaves no more than the room, so one row of the table tests all classes.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.clock = limit, 0
+        self.place: dict[Bin, int] = {}
+        self.classes: list[Bin] = []
+        self.free: list[int] = []
+        self.tried: dict[Bin, int] = {}  # until when a class has been tried against all others
+        self.fill, self.born = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.below = np.zeros((2, limit + 2, 0), np.int16 if limit < 1 << 14 else np.int32)
+
+    def grow(self, b: Bin) -> None:
+        """A class comes to be, or has more bins than before."""
+        self.clock += 1
+        if b not in self.place:
+            if not self.free:
+                n = len(self.classes)
+                self.free = list(range(n, 2 * n + 64))
+                more = n + 64
+                self.classes += [()] * more
+                self.fill, self.born = (np.r_[c, np.full(more, -1)] for c in (self.fill, self.born))
+                self.below = np.concatenate([self.below, np.zeros((*self.below.shape[:2], more), self.below.dtype)], 2)
+            i = self.place[b] = self.free.pop()
+            self.classes[i], self.fill[i] = b, _fill(b)
+            ones, twos = _sums(b)
+            for table, sums in enumerate(([0, *ones, *twos], ones)):
+                column = np.full(self.limit + 2, -self.limit - 1)
+                column[np.array(sums) + 1] = sums
+                self.below[table, :, i] = np.maximum.accumulate(column)
+        self.born[self.place[b]] = self.clock
+
+    def drop(self, b: Bin) -> None:
+        i = self.place.pop(b)
+        self.fill[i] = -1
+        self.free.append(i)
+        self.tried.pop(b, None)
+
+    def taker(self, giver: Bin, alone: bool) -> Bin | None:
+        """The class nearest in fill that can take from ``giver``, among those it was not tried against."""
+        ok = (self.fill >= _fill(giver)) & (self.born > self.tried.get(giver, 0))
+        if alone:
+            ok[self.place[giver]] = False
+        at = np.flatnonzero(ok)
+        room, hit = self.limit - self.fill[at], np.zeros(len(at), bool)
+        for table, sums in enumerate(_sums(giver)) if len(at) else ():
+            for x in sums:
+                hit |= self.below[table, x, at] >= x - room
+        at = at[hit]
+        if len(at):
+            return self.classes[at[np.argmin(self.fill[at])]]
+        self.tried[giver] = self.clock
+        return None
+
+
+def improve(bins: Counter, limit: int) -> Counter:
     """Exchange pieces between underfull classes while the squared fill rises.
 
-    The emptiest class gives, the classes it is tried against are those nearest to it in fill.
-    ``tries`` and ``partners`` bound the search, not the result: any outcome holds every piece.
+    Rounds go over the classes, emptiest first; each gives to the class nearest to it in fill as long as
+    one can take. A class that fitted nowhere is tried again only against classes that are new since, or
+    have more bins. The search ends when no class can give, or when no packing has fewer bins.
     """
     bins = Counter(bins)
-    stuck: set[Bin] = set()
-    while tries > 0:
-        room = sorted((_fill(b), b) for b in bins if _fill(b) < limit)
-        giver = next((b for _, b in room if b not in stuck), None)
-        if giver is None:
-            break
-        stuck.add(giver)
-        fill = _fill(giver)
-        takers = [b for f, b in room if f >= fill and (b != giver or bins[b] > 1)]
-        for taker in takers[:partners]:
-            tries -= 1
-            if (move := _exchange(giver, taker, limit - _fill(taker))) is None:
-                continue
-            out, into = move
-            many = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
-            after = _changed(giver, out, into), _changed(taker, into, out)
-            for b, c in ((giver, -many), (taker, -many), (after[0], many), (after[1], many)):
-                if b:
-                    bins[b] += c
-                    if not bins[b]:
-                        del bins[b]
-            stuck.clear()  # what was in nobody's way may fit now
-            break
+    least = -(-sum(_fill(b) * k for b, k in bins.items()) // limit)
+    count, moved, pool = sum(bins.values()), True, _Underfull(limit)
+    for b in sorted(bins):
+        if count > least and _fill(b) < limit:
+            pool.grow(b)
+    while moved and count > least:
+        moved = False
+        for giver in sorted(pool.place, key=lambda b: (_fill(b), b)):
+            while count > least and bins[giver] and (taker := pool.taker(giver, bins[giver] < 2)):
+                moved = True
+                out, into = _exchange(giver, taker, limit - _fill(taker))
+                many = bins[giver] // 2 if taker == giver else min(bins[giver], bins[taker])
+                after = _changed(giver, out, into), _changed(taker, into, out)
+                count -= 0 if after[0] else many
+                for b, c in ((giver, -many), (taker, -many), (after[0], many), (after[1], many)):
+                    if b:
+                        bins[b] += c
+                        if c > 0 and _fill(b) < limit:
+                            pool.grow(b)
+                        elif not bins[b]:
+                            del bins[b]
+                            pool.drop(b)
     return bins
 
 

@@ -82,8 +82,8 @@ def test_packing_is_a_round_trip(spark):
 
 def test_search_keeps_all_pieces_and_empties_bins():
     r = random.Random(1)
-    for limit in (10, 50, 2048):
-        lengths = collections.Counter(r.randrange(1, limit + 1) for _ in range(3000))
+    for limit, low in ((10, 1), (50, 1), (2048, 1), (400, 90)):
+        lengths = collections.Counter(r.randrange(low, limit + 1 if low == 1 else limit // 2) for _ in range(3000))
         first = best_fit_packing.best_fit(dict(lengths), limit)
         after = best_fit_packing.improve(first, limit)
         for bins in (first, after):
@@ -95,6 +95,12 @@ def test_search_keeps_all_pieces_and_empties_bins():
             assert held == lengths
         least = -(-sum(n * k for n, k in lengths.items()) // limit)
         assert least <= sum(after.values()) <= sum(first.values())
+        fill = {b: sum(n * k for n, k in b) for b in after}
+        stuck = [
+            best_fit_packing._exchange(g, t, limit - fill[t]) is None
+            for g in after for t in after if fill[g] <= fill[t] < limit and (g != t or after[g] > 1)
+        ]
+        assert sum(after.values()) == least or all(stuck)  # no bound ends the search before that
     # six pieces that best fit puts into three bins and an exchange into two
     start = collections.Counter({((6, 1), (3, 1)): 1, ((5, 1), (4, 1)): 1, ((2, 1),): 1})
     assert sum(best_fit_packing.improve(start, 10).values()) == 2
