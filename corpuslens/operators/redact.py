@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslens.constants import ONBOARD_MARKERS, SECRET_KEY_PARTS
 
@@ -38,6 +39,40 @@ def redact_map(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _blanked(value: Column, kind: T.DataType) -> Column:
+    """``value`` with every entry blanked, at any depth, whose name sounds like a credential."""
+    secret = lambda name: F.lower(name).rlike("|".join(SECRET_KEY_PARTS))
+    if isinstance(kind, T.StructType):
+        parts = [
+            (F.lit("[REDACTED]") if any(s in f.name.lower() for s in SECRET_KEY_PARTS) else _blanked(value.getField(f.name), f.dataType))
+            .alias(f.name)
+            for f in kind
+        ]
+        return F.when(value.isNotNull(), F.struct(*parts)) if parts else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _blanked(v, kind.elementType))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        if isinstance(kind.valueType, (T.StructType, T.ArrayType, T.MapType)):
+            return F.transform_values(value, lambda k, v: F.when(~secret(k), _blanked(v, kind.valueType)))
+        return F.transform_values(value, lambda k, v: F.when(secret(k), F.lit("[REDACTED]")).otherwise(v.cast("string")))
+    return value
+
+
+def redact_nested(df: DataFrame, column: str) -> DataFrame:
+    """Credentials blanked in structs, arrays and maps of any depth; the name of ``column`` itself does not count.
+
+    A blanked field is text whatever it was, NULL included. Plain map values become text; a blanked
+    entry of a map of structs, arrays or maps keeps its key with a NULL. NULL containers stay NULL.
+    """
+    return df.withColumn(column, _blanked(F.col(column), df.schema[column].dataType))
+
+
+def redact_json(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """The same for JSON text of a known ``schema``; text that is no such JSON becomes NULL rather than shown."""
+    parsed = df.withColumn(column, F.from_json(column, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return redact_nested(parsed, column).withColumn(column, F.to_json(column, {"ignoreNullFields": "false"}))
+
+
 def split_sections(docs: DataFrame, text: str = "text", markers: list[str] | None = None) -> DataFrame:
     """One row per marker that occurs: from it to the next later-listed marker found after it."""
     markers = markers or ONBOARD_MARKERS

@@ -210,6 +210,25 @@ def redact_map(fx: Fixtures) -> DataFrame:
     return r.select("event_id", F.col("m")["AuthToken"].alias("token"), F.map_values("m")[0].alias("first"))
 
 
+@query
+def redact_nested(fx: Fixtures) -> DataFrame:
+    """Every event as a log record: calls with headers in an array, attempts by name in a map."""
+    note = F.when(F.col("event_id") % 3 == 0, "sessionToken").otherwise("note")
+    call = lambda who: F.struct(F.col("props").alias("ApiKey"), who.alias("who"), F.create_map(note, "props").alias("headers"))
+    attempt = F.array(F.struct(F.col("user_id").alias("password"), F.col("value").alias("took")))
+    tried = F.create_map(F.concat(F.lit("try_"), F.when(F.col("event_id") % 5 == 0, "key").otherwise("plain")), attempt)
+    record = F.struct(
+        F.col("event_type").alias("kind"), F.array(call(F.col("event_type")), call(F.lit("retry"))).alias("calls"), tried.alias("tried"),
+        F.col("user_id").alias("Authorization"),
+    )
+    d = redact.redact_nested(fx.table("events").select("event_id", record.alias("r")), "r")
+    last, tries = F.col("r.calls")[1], F.map_values("r.tried")[0]
+    return d.select(
+        "event_id", "r.kind", F.col("r.Authorization").alias("auth"), last["ApiKey"].alias("call_key"), last["who"].alias("who"),
+        F.map_values(last["headers"])[0].alias("header"), tries[0]["password"].alias("tried_password"), tries[0]["took"].alias("took"),
+    )
+
+
 @query
 def table_cells(fx: Fixtures) -> DataFrame:
     return fx.files.select("file_seq", table_cell("content", 5).alias("cell"))

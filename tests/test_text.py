@@ -223,3 +223,22 @@ def test_replies(spark, reply, status, n):
     p = responses.parse_findings(d)
     assert p.first()["status"] == status
     assert responses.validate_fields(p).where("reject IS NULL").count() == n
+
+
+def test_nested_redaction(spark):
+    from corpuslens.operators.redact import redact_json, redact_nested
+
+    schema = "o struct<userToken:int, name:string, list:array<struct<Secret:string, n:int>>, deep:array<array<struct<password:string>>>, m:map<string, int>>"
+    rows = [((1, "a", [("x", 1), None], [[("p",)], []], {"apiKey": 5, "n": 6}),), ((None, None, None, None, None),), (None,)]
+    d = redact_nested(spark.createDataFrame(rows, schema), "o")
+    got = [r["o"] and r["o"].asDict(True) for r in d.collect()]
+    assert got[0] == {
+        "userToken": "[REDACTED]", "name": "a", "list": [{"Secret": "[REDACTED]", "n": 1}, None],
+        "deep": [[{"password": "[REDACTED]"}], []], "m": {"apiKey": "[REDACTED]", "n": "6"},
+    }
+    assert got[1] == {"userToken": "[REDACTED]", "name": None, "list": None, "deep": None, "m": None} and got[2] is None
+    texts = [('{"user":{"token":"t","id":3},"calls":[{"key":"k"}]}',), ("{broken",), (None,)]
+    j = redact_json(spark.createDataFrame(texts, "j string"), "j", "user struct<token:string, id:int>, calls array<struct<key:string>>")
+    got = [r["j"] for r in j.collect()]
+    assert got[0] == '{"user":{"token":"[REDACTED]","id":3},"calls":[{"key":"[REDACTED]"}]}'
+    assert "broken" not in (got[1] or "") and got[2] is None
