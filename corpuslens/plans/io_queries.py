@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.operators import correlate
+from corpuslens.operators import correlate, scoring
 from corpuslens.plans.fixtures import Fixtures
 from corpuslens.plans.registry import query
 from corpuslens.sources import corpus, records, reports
@@ -66,6 +66,18 @@ def markdown_table(fx: Fixtures) -> DataFrame:
     return reports.table_text(fx.findings)
 
 
+@query
+def markdown_report(fx: Fixtures) -> DataFrame:
+    """All lines of the report of every project, with symbols as places that several agents flag."""
+    f = fx.findings
+    first = correlate.symbol_files(f).groupBy("project_id", "symbol_name").agg(F.min("path").alias("path"))
+    cross = correlate.correlate_symbols(f).drop("path").withColumn("n_files", F.col("blast_radius")).join(first, ["project_id", "symbol_name"])
+    scores = scoring.with_grade(scoring.health_score(f, cross)).withColumn("delta", (F.col("project_id") % 3 - 1).cast("int"))
+    calls = f.select("project_id", "agent_name", (F.col("seq") % 90 + 1).alias("duration_ms"))
+    timings = calls.groupBy("project_id", "agent_name").agg(F.sum("duration_ms").alias("duration_ms"))
+    return reports.report_lines(f, cross, scores, scoring.category_scores(f), timings)
+
+
 @query
 def debounce(fx: Fixtures) -> DataFrame:
     d = watch.debounce(watch.clean_events(fx.changes), SIX_HOURS)

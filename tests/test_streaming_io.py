@@ -126,3 +126,35 @@ def test_stream_of_latest_findings_equals_the_batch(spark, tmp_path):
     assert {k: tuple(r[f] for f in fields) for k, r in seen.items() if r["n_findings"]} == {
         (r["project_id"], r["path"]): tuple(r[f] for f in fields) for r in want
     }
+
+
+def test_whole_report(spark, tmp_path):
+    findings = spark.createDataFrame(
+        [(3, 1, "logic", "low", "t|1", "d", "b.ts", 4, 9), (1, 1, "style", "critical", "t2", "d" * 99, None, None, None)],
+        "seq long, project_id long, agent_name string, severity string, title string, description string, path string, line_start int, line_end int",
+    )
+    cross = spark.createDataFrame(
+        [(1, "high", "both", "logic,style", "a.ts,b.ts", 2, 1)],
+        "project_id long, severity string, title string, agents string, path string, blast_radius long, first_seq long",
+    )
+    scores = spark.createDataFrame(
+        [(1, 52, "D", 2, 1, -3), (2, 100, "A+", 0, 0, None)],
+        "project_id long, score int, grade string, finding_count long, cross_agent_count long, delta int",
+    )
+    categories = spark.createDataFrame([(1, "deadCode", 50, 0), (1, "own", 7, 2)], "project_id long, category string, score int, finding_count long")
+    timings = spark.createDataFrame([(1, "logic", 5), (1, "style", 40), (9, "logic", 1)], "project_id long, agent_name string, duration_ms long")
+    reports.write_report(reports.report_lines(findings, cross, scores, categories, timings), str(tmp_path / "md"))
+    texts = spark.read.text(str(tmp_path / "md"))
+    lines = reports.report_lines(findings, cross, scores, categories, timings).orderBy("project_id", "section", "rank", "path", "seq").collect()
+    one, two = ([r["row"] for r in lines if r["project_id"] == p] for p in (1, 2))
+    assert len(one) + len(two) == len(lines) == texts.count()  # project 9 has no score, so no report
+    assert one[:6] == ["## Score: 52/100 (D) ↓ -3", "", "```", "█" * 10 + "░" * 10, "```", ""]
+    for row in (
+        "| Dead Code | 50 | ████░░░░ | 0 |", "| Own | 7 | █░░░░░░░ | 2 |", "| 1 | 0 | 0 | 1 | 0 | 2 |",
+        "| 🟠 high | both | logic, style | a.ts (+1) | 2 |", "| style | 1 | 1 | 0 |", "| 🔵 low | b.ts:4-9 | logic | t\\|1 | d |",
+        "| 🔴 critical | N/A | style | t2 | " + "d" * 36 + "… |",
+    ):
+        assert row in one, row
+    assert one.index("| style | 40 |") < one.index("| logic | 5 |") and one.index("| style | 1 | 1 | 0 |") < one.index("| logic | 1 | 0 | 0 |")
+    assert two[0] == "## Score: 100/100 (A+) → No change" and "*No cross-agent findings.*" in two and "*No individual findings.*" in two
+    assert "| 0 | 0 | 0 | 0 | 0 | 0 |" in two
