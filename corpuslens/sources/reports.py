@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import half_up, severity_rank, table_cell, table_row
+from corpuslens.session import cut_lineage
 
 # Fixed: mark in front of a severity.
 SEVERITY_MARK = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🔵", "info": "⚪"}
@@ -120,6 +121,7 @@ def report_lines(findings: DataFrame, cross: DataFrame, scores: DataFrame, categ
     commas; with an ``n_files`` column ``path`` is only the first. ``timings`` has ``project_id, agent_name,
     duration_ms``. Headings and notes come from ``scores``, so no section is gathered and any table may be long.
     """
+    scores = cut_lineage(scores)  # a row per project, read four times
     mark = lambda: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY_MARK.items() for x in kv]), F.col("severity")), F.lit(""))
     delta = F.coalesce("delta", F.lit(0)) if "delta" in scores.columns else F.lit(0)
     change = F.when(delta == 0, F.lit("→ No change")).when(delta > 0, F.concat(F.lit("↑ +"), delta.cast("string"))).otherwise(
