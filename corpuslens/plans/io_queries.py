@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.operators import correlate, scoring
+from corpuslens.operators import correlate, history, scoring
 from corpuslens.plans.fixtures import Fixtures
 from corpuslens.plans.registry import query
+from corpuslens.session import shared_folder
 from corpuslens.sources import corpus, records, reports
 from corpuslens.streaming import watch
 
@@ -42,6 +45,35 @@ def parse_history(fx: Fixtures) -> DataFrame:
     return h.where("valid").select("k", "run_id", "score", "delta", "kind", "total", F.size("categories").alias("n_categories"), "finding_count")
 
 
+def new_folder(fx: Fixtures, name: str) -> str:
+    return f"{shared_folder(fx.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def append_history(fx: Fixtures) -> DataFrame:
+    """The history appended run by run of three, read back, and cut to what is retained."""
+    folder = new_folder(fx, "history")
+    for part in range(3):
+        records.append_history(fx.history.where(F.col("run_id") % 3 == part), folder)
+    kept = history.trim_history(records.read_appended_history(fx.spark, folder), 50)
+    return kept.select("project_id", "run_id", "ts", "score", "kind")
+
+
+@query
+def change_stream(fx: Fixtures) -> DataFrame:
+    """All events read as a stream, some of ignored folders or with other separators, until none is left."""
+    inputs, out = new_folder(fx, "changes"), new_folder(fx, "seen")
+    n = F.col("seq") % 5
+    path = F.when(n == 0, F.concat(F.lit("node_modules/x/"), "path")).when(n == 1, F.translate("path", "/", "\\")).otherwise(F.col("path"))
+    fx.changes.select("seq", F.col("ts").cast("timestamp").alias("ts"), path.alias("path"), "kind").write.parquet(inputs)
+    q = (
+        watch.change_stream(fx.spark, inputs).writeStream.format("parquet").option("checkpointLocation", new_folder(fx, "position"))
+        .trigger(availableNow=True).start(out)
+    )
+    q.awaitTermination()
+    return fx.spark.read.schema(watch.EVENT_SCHEMA).parquet(out).select("seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "path", "kind")
+
+
 @query
 def json_report(fx: Fixtures) -> DataFrame:
     r = reports.json_rows(fx.findings, correlate.correlate_symbols(fx.findings))

@@ -71,3 +71,8 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
 def append_history(entries: DataFrame, path: str) -> None:
     """Add entries to the table, one folder per project; ``trim_history`` bounds what is read back."""
     entries.write.partitionBy("project_id").mode("append").parquet(path)
+
+
+def read_appended_history(spark: SparkSession, path: str) -> DataFrame:
+    """All entries that ``append_history`` has written."""
+    return spark.read.parquet(path).withColumn("project_id", F.col("project_id").cast("long"))
