@@ -51,21 +51,45 @@ def _places(seeds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return values, np.split(order, first[1:]) if len(values) else []
 
 
+def _matches(doc: dict[int, np.ndarray], item: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of equal seeds as ``(doc start, item start, seeds)``.
+
+    Only pairs of places that begin a run are held, so a text of one repeated word against an item of the
+    same is as many rows as the two have words, not their product.
+    """
+    ids = {s: i for i, s in enumerate(doc)}
+
+    def by_place(places: dict[int, np.ndarray], none: int) -> np.ndarray:
+        """Seed number at every place from -1 to one past the last; ``none`` where there is no shared one."""
+        row = np.full(2 + max((int(places[s][-1]) + 1 for s in ids), default=0), none, np.int64)
+        for s, i in ids.items():
+            row[np.asarray(places[s]) + 1] = i
+        return row
+
+    d, t = by_place(doc, -1), by_place(item, -2)
+    known = list(doc)
+    starts = []
+    for b in np.flatnonzero(t >= 0):  # place in the item, plus one
+        a = np.asarray(doc[known[t[b]]], np.int64) + 1
+        a = a[d[a - 1] != t[b - 1]]
+        starts.append((a, np.full(len(a), b)))
+    p, q = (np.concatenate([x[k] for x in starts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    sizes, alive, n = np.ones(len(p), np.int64), np.arange(len(p)), 1
+    while len(alive):
+        alive = alive[d[p[alive] + n] == t[q[alive] + n]]
+        sizes[alive] += 1
+        n += 1
+    return p - 1, q - 1, sizes
+
+
 def tiles(doc: dict[int, np.ndarray], item: dict[int, np.ndarray], width: int) -> list[tuple[int, int, int]]:
     """Greedy tiling ``(doc start, item start, words)`` from the places of the seeds that both hold.
 
     Longest first; ties go to the earlier place in the item, then in the document.
     """
-    p = [np.repeat(doc[s], len(item[s])) for s in item if s in doc]
-    q = [np.tile(item[s], len(doc[s])) for s in item if s in doc]
-    if not p:
-        return []
-    p, q = np.concatenate(p).astype(np.int64), np.concatenate(q).astype(np.int64)
-    order = np.lexsort((q, p - q))
-    p, q = p[order], q[order]
-    new = np.flatnonzero(np.r_[True, (np.diff(p - q) != 0) | (np.diff(q) != 1)])
-    sizes = np.diff(np.r_[new, len(p)]) + width - 1
-    heap = [(-int(n), int(b), int(a)) for a, b, n in zip(p[new], q[new], sizes, strict=True)]
+    p, q, sizes = _matches({s: doc[s] for s in item if s in doc}, item)
+    sizes += width - 1
+    heap = [(-int(n), int(b), int(a)) for a, b, n in zip(p, q, sizes, strict=True)]
     heapq.heapify(heap)
     used_doc: set[int] = set()
     used_item: set[int] = set()

@@ -372,3 +372,25 @@ def test_odd_pages(spark):
     assert [r.text_lang for r in got if r.page_id in (3, 4)] == [None, None]
     assert {r.lang for r in language_id.identify(pages, docs.limit(0)).collect()} == {None}
     assert language_id.identify(pages.limit(0), docs).count() == 0
+
+
+def test_runs_of_seeds_are_all_pairs_joined():
+    from corpuslens.llm.benchmark_decontamination import _matches, tiles
+
+    r = random.Random(5)
+    for _ in range(200):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(1, 40))] for _ in range(2))
+        doc, item = ({s: np.array([i for i, x in enumerate(w) if x == s], np.int32) for s in set(w)} for w in (a, b))
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                    n = next((k for k in range(len(a)) if i + k >= len(a) or j + k >= len(b) or a[i + k] != b[j + k]), len(a))
+                    want.add((i, j, n))
+        got = list(zip(*(x.tolist() for x in _matches({s: doc[s] for s in item if s in doc}, item)), strict=True))
+        assert set(got) == want and len(got) == len(want)
+    # one word repeated on both sides: rows grow with the sum of the two, not with their product
+    one = {7: np.arange(8000)}, {7: np.arange(2000)}
+    assert len(_matches(*one)[0]) == 9999
+    assert sum(n for _, _, n in tiles(*one, 5)) == 2004
+    assert tiles({}, one[1], 5) == [] and tiles({3: np.arange(2)}, one[1], 5) == []
