@@ -198,6 +198,37 @@ def test_related_chunks_equal_full_scan(spark, seed):
         assert got == {k: v for k, v in want.items() if v}
 
 
+def test_related_chunks_through_list_heads(spark):
+    """One early chunk only, so that most subjects go through heads of 8 places and more; two projects."""
+    rows, _ = random_chunks(spark, 7, 90)
+    rows = [(i % 3 // 2, *r[1:]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "project_id long, seq long, path string, chunk_id string, symbol_name string, content string")
+    want = {}
+    for project, _, path, cid, _, text in rows:
+        scored = []
+        for p, seq, _, other, _, t in rows:
+            s = 4 * (path[4:-3] in t) + min(4, len(set(text.split()) & set(t.split())))
+            if p == project and other != cid and s >= 4:
+                scored.append((-s, seq, other, s))
+        want.update({(cid, i + 1): x[2:] for i, x in enumerate(sorted(scored)[:4])})
+    got = retrieval.related_chunks(df, common=3, blocks=(1,)).collect()
+    assert {(r["subject"], r["rank"]): (r["chunk_id"], r["score"]) for r in got} == want
+
+
+def test_containing_equals_full_scan(spark):
+    """Short, spaced, repeated, blank and NULL needles; long runs; many needles that share grams."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab \nc", k=rng.randint(0, 40))) for _ in range(80)] + ["", None, "index1 index22", "x" * 3000 + "needle"]
+    needles = ["a", "ab", "abc", "abca", "abcab", "a b", "ca bb", "ab\nc", "", " ", None, "needle", "xneedle", "nowhere", "a", "\u00e9"]
+    needles += [f"index{i}" for i in range(300)]
+    c = spark.createDataFrame([(i % 2, f"c{i}", t) for i, t in enumerate(texts)], "project_id long, chunk_id string, content string")
+    n = spark.createDataFrame([(p, x) for p in (0, 1, 2) for x in needles], "project_id long, needle string")
+    want = {(i % 2, x, f"c{i}") for i, t in enumerate(texts) if t for x in needles if x and x.strip() and x in t}
+    got = [tuple(r) for r in retrieval.containing(c, n).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert retrieval.containing(c, n.limit(0)).count() == 0 and retrieval.containing(c.limit(0), n).count() == 0
+
+
 def test_redaction(spark):
     text = "key sk_live-0123456789abcdefXYZ, short abc123, path/with.dots"
     got = redact.redact_text(spark.createDataFrame([(text,)], "t string"), "t").first()
