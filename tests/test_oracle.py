@@ -11,7 +11,6 @@ SF = "/root/testdata/sf0.001"
 NO_SQL = {
     "chunk_braces": "tests/test_text.py",
     "split_to_limit": "tests/test_text.py",
-    "attach_context": "tests/test_findings.py, its parts by SQL (merge_context)",
     "repo_context": "its sections by SQL (dependency_cycles, tested_by, public_api, build_time_files)",
 }
 
