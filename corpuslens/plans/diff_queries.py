@@ -100,6 +100,15 @@ def decision_drift(fx: Fixtures) -> DataFrame:
     return diffing.decision_drift(d, ranges(fx)).select("slug", "path", "line_start", "line_end")
 
 
+@query
+def drift_by_finding(fx: Fixtures) -> DataFrame:
+    """Every located finding as a decided place, so that many places meet many ranges."""
+    d = fx.findings.where("line_start IS NOT NULL AND line_end IS NOT NULL").select(
+        F.col("seq").alias("slug"), "project_id", "path", "line_start", "line_end"
+    )
+    return diffing.decision_drift(d, ranges(fx)).select("slug", "path", "line_start", "line_end")
+
+
 @query
 def stale_decisions(fx: Fixtures) -> DataFrame:
     d = dec.parse_decisions(fx.decisions).withColumn("modified_at", F.col("decided_on").cast("timestamp"))

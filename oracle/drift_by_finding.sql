@@ -1,0 +1,7 @@
+WITH l AS (SELECT project_id, file_seq, path, i, l[i] AS t FROM (SELECT *, string_split(diff, chr(10)) AS l FROM changed_files) f, unnest(range(4, len(l) + 1)) AS r(i)),
+h AS (
+  SELECT *, 1 + file_seq % 50 + coalesce(sum(CASE WHEN starts_with(t, '-') THEN 0 ELSE 1 END) OVER (PARTITION BY file_seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head,
+    sum(CASE WHEN starts_with(t, '+') THEN 0 ELSE 1 END) OVER (PARTITION BY file_seq ORDER BY i) AS run FROM l),
+ranges AS (SELECT project_id, file_seq, path, CAST(min(head) AS INT) AS range_start, CAST(max(head) AS INT) AS range_end FROM h WHERE starts_with(t, '+') GROUP BY project_id, file_seq, path, run)
+SELECT seq AS slug, path, line_start, line_end FROM findings f WHERE line_start IS NOT NULL AND line_end IS NOT NULL
+  AND EXISTS (SELECT 1 FROM ranges r WHERE r.project_id = f.project_id AND r.path = f.path AND f.line_start <= r.range_end AND f.line_end >= r.range_start)
