@@ -18,7 +18,8 @@ from corpuslens.constants import (
 from corpuslens.functions.text import dirname, join_path
 from corpuslens.session import cut_lineage, shared_folder
 
-# Fixed: import statements by language; group 1 is the specifier.
+# Fixed: import statements by language, group 1 is the specifier; re-exports, names of test and
+# build files, module globals.
 JS_IMPORT = (
     r"(?m)(?:^[ \t]*import\s+(?:[\w$*{}\s,]+?\s+from\s+)?|(?<![A-Za-z0-9_])require\(\s*)['\"]([^'\"\n]+)['\"]"
 )

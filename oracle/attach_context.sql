@@ -5,6 +5,7 @@ n AS (SELECT chunk_id, sum(tf) AS n FROM w GROUP BY chunk_id) , q AS (SELECT DIS
 s AS (SELECT q.project_id, q.subject, w.chunk_id, w.seq, sum(tf) / (n + 1) AS score FROM q JOIN w ON w.project_id = q.project_id AND w.word = q.word AND w.chunk_id <> q.subject JOIN n ON n.chunk_id = w.chunk_id
   WHERE q.word NOT IN ('async', 'await', 'class', 'const', 'export', 'from', 'function', 'import', 'interface', 'return', 'type') GROUP BY q.project_id, q.subject, w.chunk_id, w.seq, n),
 found AS (SELECT project_id, subject, chunk_id, score, CAST(row_number() OVER (PARTITION BY subject ORDER BY score DESC, seq) AS INT) AS rank FROM s QUALIFY rank <= 3) , t AS (SELECT DISTINCT project_id, chunk_id, seq, lower(unnest(regexp_extract_all(content, '\b[A-Za-z_][A-Za-z0-9_]{3,}\b'))) AS term FROM c),
+-- stop words, import patterns, marker texts and limits are fixed values
 u AS (SELECT * FROM t WHERE term NOT IN ('async', 'await', 'class', 'const', 'export', 'from', 'function', 'import', 'interface', 'return', 'type')) , im AS (SELECT DISTINCT project_id, chunk_id AS subject, unnest(CASE WHEN regexp_matches(path, '\.(ts|js)$') THEN regexp_extract_all(content, '(?m)(?:^[ \t]*import\s+(?:[\w$*{}\s,]+?\s+from\s+)?|\brequire\(\s*)[''"]([^''"\n]+)[''"]', 1) ELSE regexp_extract_all(content, '(?:\bimport(?:[\s\S]*?from\s+)?|\brequire\()\s*[''"]([^''"]+)[''"]', 1) END) AS spec FROM c),
 st AS (SELECT project_id, chunk_id, seq, content, regexp_replace(path, '\.(ts|js|py)$', '') AS stem, regexp_extract(regexp_replace(path, '\.(ts|js|py)$', ''), '([^/]*)$', 1) AS base FROM c),
 ov AS (SELECT a.project_id, a.chunk_id AS subject, b.chunk_id, least(count(*), 4) AS p FROM u a JOIN u b ON a.project_id = b.project_id AND a.term = b.term AND a.chunk_id <> b.chunk_id GROUP BY ALL),
