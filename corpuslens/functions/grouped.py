@@ -7,6 +7,7 @@ from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -37,4 +38,6 @@ def fold_groups(
         if buffer:
             yield pd.DataFrame(buffer, columns=out_cols)
 
-    return df.select(*keys, *cols).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # By a hash of the keys: Spark leaves out a shuffle by the keys themselves after a join on them, and AQE may
+    # then turn that join into one that no longer keeps a key together.
+    return df.select(*keys, *cols).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

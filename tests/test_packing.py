@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.functions.grouped import fold_groups
 from corpuslens.functions.ordered import numbered
 from corpuslens.operators.packing import pack_batches
 from corpuslens.operators.triage import _greedy
+from corpuslens.session import cut_lineage
 
 
 def plain_batches(sizes, limit):
@@ -74,3 +76,22 @@ def test_greedy_skips_and_goes_on(spark):
     rows = [(0, f"p{i}", 0, 0, s, float(i)) for i, s in enumerate([5, 7, 3, 2])]
     df = spark.createDataFrame(rows, "project_id long, path string, chunk_seq int, piece int, size long, rank double")
     assert sorted(r["path"] for r in _greedy(df, 10).select("path").collect()) == ["p0", "p2", "p3"]
+
+
+def test_groups_stay_whole_after_a_join_on_their_keys(spark):
+    """Spark leaves out a shuffle by keys just joined on; the join, planned as a sort-merge join, then becomes a broadcast."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "8k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        rows = cut_lineage(spark.range(4000).repartition(8).select((F.col("id") % 50).alias("k"), F.col("id").alias("v")))
+        few = cut_lineage(spark.range(50).select(F.col("id").alias("k"), F.lit(1).alias("s")))
+        got = fold_groups(rows.join(few, "k"), ["k"], ["v"], lambda key, r: [(*key, len(r))], "k long, n long").collect()
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    assert sorted((r["k"], r["n"]) for r in got) == [(k, 80) for k in range(50)]
