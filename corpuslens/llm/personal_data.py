@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from corpuslens.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bound of the sample of proposed spans on which trees and thresholds are fitted.
-SAMPLE = 20_000
 PRECISION = 0.98
 TREES = 12
 DEPTH = 3
@@ -188,24 +186,29 @@ def _assembled(rows: DataFrame, width: int) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
 
 
-def _chosen(spans: DataFrame, sample: int, precision: float) -> DataFrame | None:
-    """``row_key, s, k, e, score`` of the spans to add, before overlaps are settled; None without examples of both labels."""
-    order = F.xxhash64("row_key", "s", "k", "e")
-    rows = stored(spans.orderBy(order, "row_key", "s", "k", "e").limit(sample), "examples")
-    fit = rows.where(F.pmod(order, F.lit(4)) != 0)
+def _chosen(spans: DataFrame, precision: float) -> DataFrame | None:
+    """``row_key, s, k, e, score`` of the spans to add, before overlaps are settled; None without examples of both labels.
+
+    Every proposed span is an example, a quarter of them kept apart; equal ones travel as one weighted row.
+    """
+    apart = (F.pmod(F.xxhash64("row_key", "s", "k", "e"), F.lit(4)) == 0).alias("apart")
+    rows = stored(
+        spans.groupBy(apart, "k", "features_of", "label").agg(F.count("*").cast("double").alias("weight")), "examples"
+    )
+    fit = rows.where("NOT apart")
     n = fit.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("yes")).first()
     if not 0 < n["yes"] < n["n"]:
         return None
     width = len(rows.select("features_of").first()[0])
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3).fit(_assembled(fit, width).coalesce(2))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, weightCol="weight").fit(_assembled(fit, width))
 
     def scored(df: DataFrame) -> DataFrame:
         return model.transform(_assembled(df, width)).withColumn("score", vector_to_array("probability")[1])
 
     bins = (
-        scored(rows.where(F.pmod(order, F.lit(4)) == 0))
+        scored(rows.where("apart"))
         .groupBy("k", F.floor(F.col("score") * 50).alias("bin"))
-        .agg(F.count("*").alias("n"), F.sum("label").alias("yes"))
+        .agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("yes"))
         .collect()
     )  # 50 bins for each of the kinds at most
     bar = F.lit(2.0)
@@ -221,7 +224,7 @@ def _chosen(spans: DataFrame, sample: int, precision: float) -> DataFrame | None
     return scored(spans.where("label = 0")).where(F.col("score") >= bar).select("row_key", "s", "k", "e", "score")
 
 
-def find(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def find(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """``doc_id, base, spans`` per document row: arrays of ``(s, k, e)``, sorted, ``k`` being the place in ``KINDS``.
 
     ``base`` are the rules' findings, ``spans`` these and the added ones, which overlap neither
@@ -229,7 +232,7 @@ def find(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) ->
     id is kept. Other columns are ignored. Without examples of both labels nothing is added.
     """
     scan = stored(scanned(docs), "scan")
-    added = _chosen(stored(proposed(scan), "proposed"), sample, precision)
+    added = _chosen(stored(proposed(scan), "proposed"), precision)
     if added is None:
         return scan.select("doc_id", "base", F.col("base").alias("spans"))
     by_start = Window.partitionBy("row_key").orderBy("s", "e", "k")

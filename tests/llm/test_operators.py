@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm import (
@@ -289,6 +290,26 @@ def test_base_spans_as_by_the_rules(spark):
     assert personal_data.find(docs_of(spark, [])).count() == 0
 
 
+def test_personal_data_learns_from_every_proposed_span(spark, monkeypatch):
+    """Phones that come last by the hash of their place, behind 24 000 addresses, count as examples too."""
+    key = F.xxhash64(F.lit(1).cast("long"), F.lit("x"))
+    place = spark.range(26_000).select(key.alias("row_key"), (F.col("id") * 10).cast("int").alias("s"))
+    by_hash = Window.orderBy(F.xxhash64("row_key", "s", F.lit(3), F.col("s") + 5))
+    at = place.withColumn("n", F.row_number().over(by_hash))
+    phone = F.col("n") > 24_000
+    spans = at.select(
+        F.lit(1).cast("long").alias("doc_id"), "row_key", "s", F.when(phone, 3).otherwise(0).alias("k"), (F.col("s") + 5).alias("e"),
+        F.when(phone & (F.col("n") % 500 != 0) | ~phone & (F.col("n") % 2 == 0), 1.0).otherwise(0.0).alias("label"),
+        F.array(phone.cast("double"), F.lit(1.0)).alias("features_of"),
+    ).checkpoint()
+    # kind 0 hashes differently; what matters is that no phone is among the first 20 000 places
+    first = spans.orderBy(F.xxhash64("row_key", "s", "k", "e")).limit(20_000).where("k = 3").count()
+    assert first == 0
+    monkeypatch.setattr(personal_data, "proposed", lambda scan: spans)
+    got = personal_data.find(docs_of(spark, [(1, "x")])).first()
+    assert len(got["spans"]) == 4
+
+
 def test_trees_find_what_the_rules_miss(spark):
     r = random.Random(9)
     rows = []
