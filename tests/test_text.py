@@ -273,3 +273,13 @@ def test_nested_redaction(spark):
     got = [r["j"] for r in j.collect()]
     assert got[0] == '{"user":{"token":"[REDACTED]","id":3},"calls":[{"key":"[REDACTED]"}]}'
     assert "broken" not in (got[1] or "") and got[2] is None
+
+
+def test_postings_lie_on_disk_as_compressed_columns(spark, tmp_path, monkeypatch):
+    """What searches write between their steps is far smaller than the text it comes from, let alone its rows."""
+    monkeypatch.setattr("corpuslens.session.shared_folder", lambda s: str(tmp_path))
+    rows = [(0, i, f"src/n{i}.ts", f"src/n{i}.ts:1-9", " ".join(f"word{chr(97 + (i * j) % 26)}" for j in range(200))) for i in range(300)]
+    df = spark.createDataFrame(rows, "project_id long, seq long, path string, chunk_id string, content string")
+    index = retrieval.keyword_index(df)
+    assert retrieval.cut_lineage(index).count() == index.count()
+    assert 0 < sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < sum(len(r[-1]) for r in rows) / 3
