@@ -229,6 +229,25 @@ def test_containing_equals_full_scan(spark):
     assert retrieval.containing(c, n.limit(0)).count() == 0 and retrieval.containing(c.limit(0), n).count() == 0
 
 
+def test_containing_writes_only_runs_that_may_hold_a_name(spark, monkeypatch):
+    prose = "the quick brown fox and f7 jumps over lazy dogs of f12"
+    c = spark.createDataFrame([(0, f"c{i}", f"{prose} {i}") for i in range(50)], "project_id long, chunk_id string, content string")
+    n = spark.createDataFrame([(0, f"f{i}") for i in range(10, 20)], "project_id long, needle string")
+    runs, cut = [], retrieval.cut_lineage
+
+    def counted(frame):
+        out = cut(frame)
+        if out.columns == ["project_id", "chunk_id", "run"]:
+            runs.append(out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "cut_lineage", counted)
+    got = [tuple(r) for r in retrieval.containing(c, n).collect()]
+    assert sorted(got) == sorted((0, "f12", f"c{i}") for i in range(50))
+    # only f12 is as long as a name and made of its characters: f, 1 and what follows
+    assert len(runs) == 1 and runs[0] <= 50 * 3
+
+
 def test_redaction(spark):
     text = "key sk_live-0123456789abcdefXYZ, short abc123, path/with.dots"
     got = redact.redact_text(spark.createDataFrame([(text,)], "t string"), "t").first()
