@@ -179,6 +179,24 @@ def test_keyword_search_opens_few_blocks(spark, monkeypatch):
     assert len(got) == 3 * n and len(lists) == 2
 
 
+def test_keyword_search_keeps_pairs_in_tasks(spark):
+    """Each chunk shares a word with most others: millions of pairs, of which only the best are written or shuffled."""
+    rng, n = random.Random(5), 1500
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows = [(i % 2, i, f"src/n{i}.ts", f"c{i}", "sym", " ".join(rng.choices(words, k=rng.randint(5, 20)))) for i in range(n)]
+    df = spark.createDataFrame(rows, "project_id long, seq long, path string, chunk_id string, symbol_name string, content string")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = shuffled()
+    got = retrieval.keyword_search(df).collect()
+    assert shuffled() - before < 3_000_000
+    texts = {r[3]: (r[0], r[5].split()) for r in rows}
+    for i in range(0, n, 101):
+        own, project = set(texts[f"c{i}"][1]), i % 2
+        score = {c: sum(x in own for x in w) / (len(w) + 1) for c, (p, w) in texts.items() if c != f"c{i}" and p == project}
+        best = sorted(score, key=lambda c: (-score[c], int(c[1:])))[:3]
+        assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.subject == f"c{i}"] == best
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_related_chunks_equal_full_scan(spark, seed):
     rows, df = random_chunks(spark, seed)
