@@ -107,18 +107,20 @@ def parse_findings(responses: DataFrame) -> DataFrame:
     return responses.withColumn("p", parsed).select(*rest, "p.*")
 
 
-def _typed(v: Column, path: str, kind: str) -> Column:
-    """Field of a JSON object when it has the wanted type: string, number or strings."""
-    shape = F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))
-    if kind == "string":
-        return F.when(shape == "STRING", F.try_variant_get(v, f"$.{path}", "string"))
-    if kind == "boolean":
-        return F.when(shape == "BOOLEAN", F.try_variant_get(v, f"$.{path}", "boolean"))
+def _as(x: Column, kind: str) -> Column:
+    """A JSON value when it has the wanted type: string, boolean, number or strings."""
+    if kind == "strings":
+        texts = F.filter(F.try_variant_get(x, "$", "array<variant>"), lambda i: F.schema_of_variant(i) == "STRING")
+        return F.coalesce(F.transform(texts, lambda i: F.try_variant_get(i, "$", "string")), F.array().cast("array<string>"))
+    shape = F.schema_of_variant(x)
     if kind == "number":
-        return F.when(shape.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(v, f"$.{path}", "double"))
-    items = F.try_variant_get(v, f"$.{path}", "array<variant>")
-    texts = F.filter(items, lambda x: F.schema_of_variant(x) == "STRING")
-    return F.coalesce(F.transform(texts, lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>"))
+        return F.when(shape.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.try_variant_get(x, "$", "double"))
+    return F.when(shape == kind.upper(), F.try_variant_get(x, "$", kind))
+
+
+def _typed(v: Column, path: str, kind: str) -> Column:
+    """Field of a JSON object when it has the wanted type; the object is searched once."""
+    return let(F.try_variant_get(v, f"$.{path}", "variant"), lambda x: _as(x, kind))
 
 
 def validate_fields(parsed: DataFrame) -> DataFrame:
@@ -271,28 +273,34 @@ def parse_verdicts(replies: DataFrame) -> DataFrame:
 
 
 def parse_synthesis(replies: DataFrame) -> DataFrame:
-    """Summary, fixes and observations of a synthesis reply; without a summary it is left out."""
+    """Summary, fixes and observations of a synthesis reply; without a summary it is left out.
+
+    A reply is parsed once, and so is each of its fields: the result leaves a generator, past which no use repeats it.
+    """
     rest = [c for c in replies.columns if c != "content"]
-    d = replies.withColumn("v", _object(F.col("content")))
-    v = F.col("v")
-    array = lambda p: F.coalesce(F.try_variant_get(v, f"$.{p}", "array<variant>"), F.array().cast("array<variant>"))
-    number = lambda x, p, whole: F.coalesce(
-        _typed(x, p, "number"),
-        F.nullif(F.regexp_extract(F.coalesce(_typed(x, p, "string"), F.lit("")), r"^\s*(-?\d+)" if whole else r"^\s*(-?\d+(?:\.\d+)?)", 1), F.lit("")).cast("double"),
-        F.lit(0.0),
-    )
-    fixes = F.transform(
-        F.filter(array("priorityFixes"), lambda x: _typed(x, "title", "string").isNotNull() & _typed(x, "rationale", "string").isNotNull()),
-        lambda x: F.struct(
-            number(x, "rank", True).alias("rank"), _typed(x, "title", "string").alias("title"),
-            _typed(x, "rationale", "string").alias("rationale"), number(x, "estimatedHours", False).alias("estimated_hours"),
+
+    def number(x: Column, path: str, pattern: str) -> Column:
+        lead = lambda y: F.nullif(F.regexp_extract(F.coalesce(_as(y, "string"), F.lit("")), pattern, 1), F.lit(""))
+        field = F.try_variant_get(x, f"$.{path}", "variant")
+        return let(field, lambda y: F.coalesce(_as(y, "number"), lead(y).cast("double"), F.lit(0.0)))
+
+    def fix(x: Column) -> Column:
+        return F.struct(
+            number(x, "rank", r"^\s*(-?\d+)").alias("rank"), _typed(x, "title", "string").alias("title"),
+            _typed(x, "rationale", "string").alias("rationale"),
+            number(x, "estimatedHours", r"^\s*(-?\d+(?:\.\d+)?)").alias("estimated_hours"),
             _typed(x, "affectedFiles", "strings").alias("affected_files"),
-        ),
-    )
-    return d.select(
-        *rest,
-        _typed(v, "executiveSummary", "string").alias("summary"),
-        fixes.alias("fixes"),
-        _typed(v, "crossCuttingObservations", "strings").alias("observations"),
-        F.coalesce(_typed(v, "debtEstimate.highestROIFix", "string"), F.lit("")).alias("best_fix"),
-    ).where("summary IS NOT NULL")
+        )
+
+    def read(v: Column) -> Column:
+        listed = F.coalesce(F.try_variant_get(v, "$.priorityFixes", "array<variant>"), F.array().cast("array<variant>"))
+        fixes = F.filter(F.transform(listed, fix), lambda f: f["title"].isNotNull() & f["rationale"].isNotNull())
+        return F.struct(
+            _typed(v, "executiveSummary", "string").alias("summary"),
+            fixes.alias("fixes"),
+            _typed(v, "crossCuttingObservations", "strings").alias("observations"),
+            F.coalesce(_typed(v, "debtEstimate.highestROIFix", "string"), F.lit("")).alias("best_fix"),
+        )
+
+    both = F.transform(F.array(_object(F.col("content"))), read)
+    return replies.select(*rest, F.inline(F.filter(both, lambda r: r["summary"].isNotNull())))

@@ -266,6 +266,21 @@ def test_containing_writes_only_runs_that_may_hold_a_name(spark, monkeypatch):
     assert len(runs) == 1 and runs[0] <= 50 * 3
 
 
+def test_synthesis_is_parsed_once(spark):
+    good = '{"executiveSummary": "S", "priorityFixes": [{"title": "t", "rationale": "r", "rank": 3, "estimatedHours": " 2.5 h"}, {"title": "no reason"}, 7]}'
+    odd = ['{"executiveSummary": 5}', '{"executiveSummary": null}', "[1]", "", None, "no JSON"]
+    texts = [good, f"text {good} text", f"```json\n{good}\n```", '{"executiveSummary": "", "priorityFixes": "none"}', *odd]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq long, content string")
+    s = responses.parse_synthesis(d)
+    fix = (3.0, "t", "r", 2.5, [])
+    got = [(r["seq"], r["summary"], [tuple(f) for f in r["fixes"]], r["observations"], r["best_fix"]) for r in s.collect()]
+    assert sorted(got) == [*((i, "S", [fix], [], "") for i in range(3)), (3, "", [], [], "")]
+    one = F.col("fixes")[0]
+    used = s.select("summary", one["rank"], one["title"], F.size("fixes"), F.size("observations"), "best_fix")
+    # the whole text, else its outermost braces; however often the result is used
+    assert used._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson(") == 2
+
+
 def test_redaction(spark):
     text = "key sk_live-0123456789abcdefXYZ, short abc123, path/with.dots"
     got = redact.redact_text(spark.createDataFrame([(text,)], "t string"), "t").first()
