@@ -281,6 +281,29 @@ def test_synthesis_is_parsed_once(spark):
     assert used._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson(") == 2
 
 
+def test_snippets_travel_without_the_rest_of_their_text(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=100_000)) for _ in range(20)]
+    rows = [(0, f"c{i}", f"p{i}", 1, 9, None, t) for i, t in enumerate(texts)]
+    shape = "project_id long, chunk_id string, path string, start_line int, end_line int, symbol_name string, content string"
+    c = spark.createDataFrame(rows, shape)
+    related = spark.createDataFrame([(0, f"c{i}", f"c{(i + 1) % 20}", 5, 1) for i in range(20)], "project_id long, subject string, chunk_id string, score int, rank int")
+    found = spark.createDataFrame([(0, f"c{i}", f"c{(i + j) % 20}", 0.5, j) for i in range(20) for j in (1, 2)], "project_id long, subject string, chunk_id string, score double, rank int")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = {r["subject"]: r["context"] for r in retrieval.merge_context(retrieval.render_snippets(related, found, c)).collect()}
+        assert shuffled() - before < 500_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    more = "\n... (truncated)"
+    first = f"// --- p1 (score 5, lines 1-9) ---\n{texts[1][:900]}{more}"
+    second = f"// --- p2 (lines 1-9) ---\n{texts[2][:1000]}{more}"
+    assert got["c0"] == f"\n\n/* [REPOSITORY CONTEXT] */\n{first}\n\n{second}\n/* [END REPOSITORY CONTEXT] */\n\n" and len(got) == 20
+
+
 def test_redaction(spark):
     text = "key sk_live-0123456789abcdefXYZ, short abc123, path/with.dots"
     got = redact.redact_text(spark.createDataFrame([(text,)], "t string"), "t").first()
