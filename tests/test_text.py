@@ -358,3 +358,11 @@ def test_postings_lie_on_disk_as_compressed_columns(spark, tmp_path, monkeypatch
     index = retrieval.keyword_index(df)
     assert retrieval.cut_lineage(index).count() == index.count()
     assert 0 < sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < sum(len(r[-1]) for r in rows) / 3
+
+
+def test_keyword_index_searches_each_text_once(spark):
+    """No optimisation may carry the search for words into a test of each single word of a text."""
+    rows = [(0, 0, "a:1-1", " ".join(f"{w} {w}" for w in ("alpha", "beta", "gone"))), (0, 1, "b:1-1", "no"), (0, 2, "c:1-1", None)]
+    index = retrieval.keyword_index(spark.createDataFrame(rows, "project_id long, seq long, chunk_id string, content string"))
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+    assert {tuple(r) for r in index.select("seq", "word", "tf", "n_words").collect()} == {(0, w, 2, 6) for w in ("alpha", "beta", "gone")}
