@@ -366,3 +366,15 @@ def test_keyword_index_searches_each_text_once(spark):
     index = retrieval.keyword_index(spark.createDataFrame(rows, "project_id long, seq long, chunk_id string, content string"))
     assert index._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
     assert {tuple(r) for r in index.select("seq", "word", "tf", "n_words").collect()} == {(0, w, 2, 6) for w in ("alpha", "beta", "gone")}
+
+
+def test_joins_on_stored_tables_do_not_gather_packed_rows(spark, tmp_path, monkeypatch):
+    """A few compressed bytes may be very many rows, which no join may collect on the driver."""
+    from corpuslens.session import stored
+
+    monkeypatch.setattr("corpuslens.session.shared_folder", lambda s: str(tmp_path))
+    other = spark.range(5_000_000)
+    for rows, method in ((2_000_000, "SortMergeJoin"), (10, "BroadcastHashJoin")):
+        table = stored(spark.range(0, rows, 1, 4).withColumn("n", F.lit(7)), "packed", joined=True)
+        d = other.join(table.select("id", F.explode(F.array("n")).alias("n")), "id")
+        assert method in d._jdf.queryExecution().sparkPlan().toString() and d.count() == rows
