@@ -378,3 +378,16 @@ def test_joins_on_stored_tables_do_not_gather_packed_rows(spark, tmp_path, monke
         table = stored(spark.range(0, rows, 1, 4).withColumn("n", F.lit(7)), "packed", joined=True)
         d = other.join(table.select("id", F.explode(F.array("n")).alias("n")), "id")
         assert method in d._jdf.queryExecution().sparkPlan().toString() and d.count() == rows
+
+
+def _first_join(df):
+    return re.search(r"\w+Join", df._jdf.queryExecution().sparkPlan().toString())[0]
+
+
+def test_lists_of_subjects_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "cut_lineage", lambda df: df)
+    c = spark.range(50).selectExpr("0L AS project_id", "'c' || id AS chunk_id", "id AS no", "array('some', 'word', 'here') AS terms")
+    open_ = c.selectExpr("project_id", "no AS s_no", "terms AS s_terms", "'b' AS base", "4 AS top")
+    names = spark.createDataFrame([], "project_id long, base string, chunk_id string")
+    own, _ = retrieval._lists(open_, c, names, 4)
+    assert _first_join(own) == "SortMergeJoin" and own.count() == 150
