@@ -391,3 +391,12 @@ def test_lists_of_subjects_are_not_gathered(spark, monkeypatch):
     names = spark.createDataFrame([], "project_id long, base string, chunk_id string")
     own, _ = retrieval._lists(open_, c, names, 4)
     assert _first_join(own) == "SortMergeJoin" and own.count() == 150
+
+
+def test_snippets_are_not_gathered(spark):
+    pairs = spark.range(20).selectExpr("0L AS project_id", "'s' AS subject", "'c' || id AS chunk_id", "CAST(id AS INT) AS rank", "4 AS score")
+    c = spark.range(20).selectExpr(
+        "0L AS project_id", "'c' || id AS chunk_id", "'a.ts' AS path", "1 AS start_line", "2 AS end_line", "'' AS symbol_name", "'x' AS content"
+    )
+    d = retrieval.render_snippets(pairs, pairs.where("rank < 5"), c)
+    assert _first_join(d) == "SortMergeJoin" and d.count() == 25
